@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, tokens
+from . import chat, decontaminate, licenses, packing, quality, simhash, tokens, toxicity, urls
 
-MODULES = [packing, simhash, tokens]
+MODULES = [chat, decontaminate, licenses, packing, quality, simhash, tokens, toxicity, urls]
 
 
 def queries() -> dict:
