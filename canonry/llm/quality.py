@@ -47,26 +47,30 @@ def repeat_words(words: Column) -> Column:
     return F.when(n < 3, 0).otherwise(bound(hashes, repeated)).cast("long")
 
 
-def statistics(documents: DataFrame) -> DataFrame:
-    """doc_id with counts and FEATURES of every whole text. A null text has no words and no lines."""
+def statistics(documents: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id with counts and FEATURES of every whole text. A null text has no words and no lines. whole: also _row, all
+    of the document's columns."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row")] * whole
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = common.documents_only(documents, "doc_id", "text").select("doc_id", text.alias("text"), common.words(F.col("text")).alias("words"))
+    base = documents.select("doc_id", text.alias("text"), common.words(F.col("text")).alias("words"), *row)
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, common.WHITE, "")) > 0)
-    counted = base.select(
-        "doc_id",
+    kept = ["_row"] * whole
+    # a generator of one row keeps the optimiser from working the counts out anew wherever they are used
+    counts = F.struct(
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", common.WHITE, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.transform(F.array(lines), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))[0].alias("n_dup_lines"),
+        bound(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         repeat_words(F.col("words")).alias("n_repeat_words"),
         F.size(F.array_distinct("words")).alias("_distinct"),
         (F.length("text") - F.length(F.translate("text", common.UPPER, ""))).alias("_upper"),
         (F.length("text") - F.length(F.translate("text", "!?", ""))).alias("_marks"),
         (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("_lines"),
     )
+    counted = base.select("doc_id", *kept, F.inline(F.array(counts)))
     per = F.greatest(F.col("n_words"), F.lit(1))
     return counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", *kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("word_chars") / per).alias("mean_word"),
         (F.col("n_symbols") / per).alias("symbols_per_word"),
         (F.col("n_repeat_words") / per).alias("repeat_share"),
@@ -213,6 +217,12 @@ def judge(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
+def filter_documents(documents: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The documents that judge keeps, their columns unchanged."""
+    kept = statistics(documents, whole=True).where(~base_failed() & (verdict(rules) == 0))
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in documents.columns])
+
+
 def quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return judge(documents, learn(labelled_rows(documents, labels, sample)))
 

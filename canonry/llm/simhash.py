@@ -159,6 +159,18 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE, segments: in
     return prints.join(labels, prints["fp"] == labels["_fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(documents: DataFrame, **options) -> DataFrame:
+    """The documents without near duplicates: of each component, the one with the smallest doc_id stays.
+
+    Documents with a null id can't be named and stay as they are; of rows that repeat an id one stays.
+    """
+    members = common.cut(near_duplicates(documents, **options))
+    stay = members.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeated = not stay.where("n > 1").isEmpty()
+    named = documents.where("doc_id is not null").join(stay.select(F.col("doc_id").alias("_stay")), F.col("doc_id") == F.col("_stay"), "left_semi")
+    return (named.dropDuplicates(["doc_id"]) if repeated else named).unionByName(documents.where("doc_id is null"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.read_table(spark, sf_dir, "documents"))
 

@@ -157,6 +157,18 @@ def scored(documents: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
     return rows.mapInPandas(score, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def filter_documents(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The documents whose score is below the threshold, their columns unchanged."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([shared.value.score(t if isinstance(t, str) else None) for t in batch], dtype="f8")
+
+    return documents.where(score(F.col("text")) < threshold)
+
+
 def offending_sentences(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, sentence (its number among those with words) and score, of sentences at the threshold or over."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
