@@ -160,7 +160,7 @@ UNSAFE = (("look-around", r"\(\?<?[=!]"), ("back reference", r"\\[1-9]|\\k<|\(\?
 
 def pattern_error(pattern: str) -> str | None:
     """Why a pattern can't be enforced safely; None if it can."""
-    bare = re.sub(r"\\\\", "", pattern)
+    bare = re.sub(r"\\\\|\[(?:\\.|[^\]\\])*\]", "", pattern)  # without escaped backslashes and sets
     for what, shape in UNSAFE:
         if re.search(shape, bare):
             return f"{what} is not supported"

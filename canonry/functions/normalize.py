@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CONTROL = r"[\u0000-\u001F\u007F-\u009F]"
 #: The white space that is collapsed.
@@ -32,7 +33,7 @@ def is_blank_value(value: str | None) -> bool:
     return normalize_value(value) == ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
