@@ -9,7 +9,6 @@ lengths: +1 where an answer's ids begin, -1 where they end.
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,16 +28,16 @@ LEARNED = "assistant"
 
 
 def escape(text: str) -> str:
-    """Reversible: the escape sign becomes itself and "x", a control string the sign and its number."""
-    out = text.replace(ESCAPE, ESCAPE + "x")
-    for i, control in enumerate(CONTROLS):
-        out = out.replace(control, f"{ESCAPE}{i}")
+    """Reversible, and never shorter: an escape sign is doubled, and one is put after a control string's first sign."""
+    out = text.replace(ESCAPE, 2 * ESCAPE)
+    for control in CONTROLS:
+        out = out.replace(control, control[0] + ESCAPE + control[1:])
     return out
 
 
 def unescape(text: str) -> str:
-    head, *rest = text.split(ESCAPE)
-    return head + "".join((ESCAPE if r[0] == "x" else CONTROLS[int(r[0])]) + r[1:] for r in rest)
+    """Doubled signs come from the text, single ones from escape."""
+    return ESCAPE.join(x.replace(ESCAPE, "") for x in text.split(2 * ESCAPE))
 
 
 def reserved(control: str) -> int:
