@@ -341,6 +341,25 @@ def deviations(before: Run, after: Run) -> list[tuple[str, int]]:
     return out
 
 
+def review_rows(run: Run) -> list[dict]:
+    """What a reviewer sees: each group's literals once, and items without a group as groups of their own to be reviewed."""
+    literal, placed = run.literals(), {i for g in run.groups for i in g.items}
+    rows = [{"name": g.name, "confidence": g.confidence, "source": g.source, "needs_review": g.needs_review, "literals": list(dict.fromkeys(literal[i] for i in g.items))} for g in run.groups]
+    return rows + [{"name": i.literal, "confidence": "l", "source": "ungrouped", "needs_review": True, "literals": [i.literal]} for i in run.items if i.id not in placed]
+
+
+def numbered_items(items: list[Item]) -> list[Item]:
+    """Items whose number is missing (0) or taken get their place, or the next number that is free."""
+    used, out = set(), []
+    for place, item in enumerate(items, 1):
+        number = item.id if item.id and item.id not in used else place
+        while number in used:
+            number += 1
+        used.add(number)
+        out.append(replace(item, id=number))
+    return out
+
+
 def premerge(df: DataFrame, name: str) -> DataFrame:
     """Adds folded: the name without differences of case and spaces."""
     return df.withColumn("folded", F.lower(F.regexp_replace(F.trim(F.col(name)), r"\s+", " ")))

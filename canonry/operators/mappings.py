@@ -167,3 +167,30 @@ def remove(matches: DataFrame, spec_id: int | None, keys: DataFrame) -> DataFram
     """matches without a scope's keys (nv)."""
     gone = keys.select(F.col("nv").alias("_nv")).distinct()
     return matches.join(gone, in_scope(spec_id) & (F.col("normalized_value") == F.col("_nv")), "left_anti")
+
+
+def newest(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """The row with the latest time of each key; ties by the whole row."""
+    whole = F.struct(*rows.columns)
+    return rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max_by(whole, F.struct(at, *rows.columns)).alias("r")).select("r.*")
+
+
+def bulk_changes(matches: DataFrame, spec_id: int | None, moves: DataFrame, deletes: DataFrame, now: Column) -> DataFrame:
+    """matches of a scope after a saved edit: moves (nv, alias_id) and deletes (nv), by key."""
+    to = moves.groupBy(F.col("nv").alias("_nv")).agg(F.max("alias_id").alias("_to"))
+    moved = matches.join(to, in_scope(spec_id) & (F.col("normalized_value") == F.col("_nv")), "left")
+    hit = F.col("_to").isNotNull()
+    changed = moved.select(*[F.when(hit, F.col("_to")).otherwise(F.col(c)).alias(c) if c == "alias_id" else F.when(hit, now).otherwise(F.col(c)).alias(c) if c == "confirmed_at" else F.col(c) for c in matches.columns])
+    return remove(changed, spec_id, deletes)
+
+
+def usage_counts(matches: DataFrame, names: DataFrame) -> DataFrame:
+    """names with how many mappings point to each."""
+    used = matches.groupBy("alias_id").agg(F.count("*").alias("mappings"))
+    return names.join(used, "alias_id", "left").withColumn("mappings", F.coalesce("mappings", F.lit(0)))
+
+
+def audit_rows(log: DataFrame, decisions: DataFrame, now: Column, longest: int = 800) -> DataFrame:
+    """The log with decisions (literal_value, run_id, original_alias_name, user_changed_to) added, texts within a bound."""
+    cut = lambda c: F.substring(c, 1, longest).alias(c)
+    return log.unionByName(decisions.select(cut("literal_value"), "run_id", cut("original_alias_name"), cut("user_changed_to"), now.alias("decided_at")))

@@ -138,10 +138,20 @@ class Engine:
         self.store.save_document(run_id, run, 0)
         return run
 
+    def propose(self, pipeline: Pipeline, values: DataFrame) -> Run:
+        """What grouping values would give; nothing is kept."""
+        run = self.grouped(pipeline, values)
+        self.store.documents.pop(run.run_id, None)
+        return run
+
+    def approve(self, pipeline: Pipeline, run: Run) -> None:
+        """Accepted, to be written when the pipeline is committed."""
+        run.status, pipeline.status = "approved", "paused"
+
     def commit(self, pipeline: Pipeline, run: Run) -> None:
         self.confirm(pipeline, run.mappings(), run.run_id)
         run.status = "completed"
-        if pipeline.status == "pending_baseline":
+        if pipeline.status == "pending_baseline" or (pipeline.status == "paused" and pipeline.reason is None):
             pipeline.status = "active"
             pipeline.synced_at = pipeline.created_at
         self.refresh(pipeline)
@@ -180,6 +190,27 @@ class Engine:
         self.tell("metrics", pipeline_id=pipeline.pipeline_id, queue_size=pipeline.queue_size)
         return new
 
+    def poll_table(self, table: str, signature: str | None = None) -> int:
+        """All columns of a table in one pass with one time; each export is rebuilt at most once, if rows changed."""
+        own = [p for p in self.pipelines.values() if p.table.lower() == table.lower()]
+        changed = [p for p in own if signature is None or p.signature != signature]
+        new = sum(self.poll(p, signature) for p in own)
+        for p in {p.export_name.lower(): p for p in changed if p.export_name and p.status == "active"}.values():
+            self.refresh(p)
+        at = self.clock()
+        for p in own:
+            p.last_polled_at = at
+        return new
+
+    def process_now(self, pipeline: Pipeline) -> int:
+        """Drain by hand: an empty queue is reconciled first; installments follow until the queue is empty."""
+        if not self.store.read("queue").where(F.col("pipeline_id") == pipeline.pipeline_id).limit(1).count():
+            self.reconcile(pipeline)
+        done = 0
+        while got := self.drain(pipeline):
+            done += got
+        return done
+
     # standardization
 
     def drain(self, pipeline: Pipeline, limit: int = RUN_LIMIT) -> int:

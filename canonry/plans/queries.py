@@ -405,6 +405,45 @@ def item_numbers(spark, sf_dir):
     return grouping.numbered(read(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_type").alias("label"), F.col("p_partkey").alias("item")), "label", "item")
 
 
+@query("SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
+def newest_rows(spark, sf_dir):
+    return mappings.newest(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), ["o_custkey"], "o_orderdate")
+
+
+@query("SELECT p_brand, round(avg(coalesce(CASE WHEN p_size > 25 THEN 0.9 END, 0.5)), 9) AS confidence, CASE WHEN avg(coalesce(CASE WHEN p_size > 25 THEN 0.9 END, 0.5)) >= 0.85 THEN 'h' WHEN avg(coalesce(CASE WHEN p_size > 25 THEN 0.9 END, 0.5)) >= 0.55 THEN 'm' ELSE 'l' END AS band FROM part GROUP BY 1")
+def group_confidence(spark, sf_dir):
+    df = read(spark, sf_dir, "part").select("p_brand", F.when(F.col("p_size") > 25, 0.9).alias("c"))
+    return grouping.support(df, "p_brand", "c").withColumn("confidence", F.round("confidence", 9))
+
+
+@query(f"WITH {STORED} SELECT alias_name, (SELECT count(*) FROM matches WHERE matches.alias_id = names.alias_id) AS mappings FROM names")
+def usage_counts(spark, sf_dir):
+    return mappings.usage_counts(*stored(spark)).select("alias_name", "mappings")
+
+
+@query(f"WITH {STORED} SELECT literal_value, CASE WHEN normalized_value = 'promo' AND spec_id = 7 THEN 2 ELSE alias_id END::BIGINT AS alias_id FROM matches WHERE NOT (normalized_value = 'gone' AND spec_id = 7)")
+def bulk_changes(spark, sf_dir):
+    moves = spark.createDataFrame([("promo", 2)], "nv string, alias_id long")
+    deletes = spark.createDataFrame([("gone",)], "nv string")
+    return mappings.bulk_changes(stored(spark)[0], 7, moves, deletes, F.lit("2024-02-01").cast("timestamp")).select("literal_value", "alias_id")
+
+
+@query(f"WITH {STORED} SELECT alias_name, literal_value, count(*) AS n FROM matches JOIN names USING (alias_id) WHERE matches.spec_id = 7 GROUP BY 1, 2")
+def known_literals(spark, sf_dir):
+    return mappings.known_literals(mappings.mapping_rows(*stored(spark), 7))
+
+
+@query("SELECT n AS alias_name, c AS usage_count FROM (SELECT p_name AS n, count(*) AS c FROM part GROUP BY 1)")
+def known_names(spark, sf_dir):
+    names = read(spark, sf_dir, "part").groupBy(F.col("p_name").alias("alias_name")).agg(F.count("*").alias("usage_count")).withColumn("last_used_at", F.lit(None).cast("timestamp"))
+    return mappings.known_names(names, read(spark, sf_dir, "part").select(F.col("p_name").alias("literal_value")))
+
+
+@query("SELECT event_id, event_type FROM events WHERE length(event_type) <= 5")
+def within_cap(spark, sf_dir):
+    return detect.drop_overlong(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", 5)
+
+
 def flagship(spark, sf_dir) -> DataFrame:
     """The orders table standardized by priority, as rows and value by canonical name."""
     done = export.standardize(read(spark, sf_dir, "orders"), {"o_orderpriority": mapping(spark, PRIORITIES)})

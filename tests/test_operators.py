@@ -290,3 +290,27 @@ def test_signature(spark, tmp_path):
     assert one == detect.signature(spark, f"{tmp_path}/t")
     spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/t")
     assert one != detect.signature(spark, f"{tmp_path}/t")
+
+
+def test_run_documents(spark):
+    items = [grouping.Item(0, "a"), grouping.Item(1, "b"), grouping.Item(0, "c")]
+    assert [i.id for i in grouping.numbered_items(items)] == [1, 2, 3]
+    run = grouping.Run(1, 7, grouping.items_of([("a", 1), ("b", 1)]), [grouping.Group("A", (1, 1), "h")])
+    assert [(r["name"], r["needs_review"], r["literals"]) for r in grouping.review_rows(run)] == [("A", False, ["a"]), ("b", True, ["b"])]
+    log = spark.createDataFrame([], "literal_value string, run_id long, original_alias_name string, user_changed_to string, decided_at timestamp")
+    new = spark.createDataFrame([("x" * 900, 1, "a", None)], "literal_value string, run_id long, original_alias_name string, user_changed_to string")
+    assert len(mappings.audit_rows(log, new, F.current_timestamp()).first()["literal_value"]) == 800
+
+
+def test_deferred_commit_and_manual_processing(spark, store, source):
+    engine = Engine(store, lambda name: source, grouping.FoldingGrouper())
+    p = engine.create("src", "carrier", {"description": "x"}, export_name="out2", export_kind="column")
+    run = engine.initial_run(p, 2)
+    engine.approve(p, run)
+    assert run.status == "approved" and p.status == "paused" and store.read("literal_matches").count() == 0
+    engine.commit(p, run)
+    assert p.status == "active" and "carrier_STANDARDIZED" in store.read("out2").columns
+    assert engine.process_now(p) == 3 and p.queue_size == 0
+    before = len(store.documents)
+    assert engine.propose(p, tables.distinct_values(source, "carrier")).groups and len(store.documents) == before
+    assert engine.poll_table("SRC", "sig") == 0 and p.last_polled_at is not None
