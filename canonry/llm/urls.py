@@ -81,8 +81,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: f
 def seed_table(judged: DataFrame, verdict: str) -> DataFrame:
     """host, seed: each host's share of the pages with that verdict."""
     counts = judged.where(F.col("_verdict") == verdict).where("host <> ''").groupBy("host").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return common.cut(counts.crossJoin(F.broadcast(total)).select("host", (F.col("n") / F.col("total")).alias("seed")))
+    counts = common.cut(counts)
+    total = counts.agg(F.sum("n").alias("total")).first()["total"] or 1
+    return counts.select("host", (F.col("n") / F.lit(total)).alias("seed"))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, steps: int = STEPS, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
