@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from canonry.llm import chat, common, decontaminate, licenses, lm, packing, quality, simhash, tokens, toxicity, urls
+from canonry.llm import chat, common, decontaminate, licenses, lm, neardup, packing, quality, simhash, tokens, toxicity, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -115,6 +115,58 @@ def test_links_are_exact(spark, crowd):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
 
 
+def brute_near_groups(texts, share=0.8):
+    sets = []
+    for t in texts:
+        w = words_of(lower(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= share * len(a | b):
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("work", [neardup.WORK, 20_000])
+def test_near_copies_with_edits(spark, clashing, empty, work):
+    """Copies of a 200-word text with 2 or 4 words changed, chains of them, null ids and repeats, against brute force;
+    with little work a task, components are dealt to blocks."""
+    rng = random.Random(9)
+    table = [(None, "only null ids have this text here"), (None, "only null ids have this text here"), (900, None), (901, ""), (902, "a b"), (903, "A b"), (904, "a c")]
+    for family in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        for copy in range(5):
+            text = list(base)
+            for at in rng.sample(range(200), (0, 2, 4, 4, 12)[copy]):
+                text[at] = "changed"
+            table.append((family * 10 + copy if copy != 3 else None, " ".join(text)))
+            base = text if family % 3 == 0 else base
+    table += table[7:11]
+    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    of = collections.defaultdict(list)
+    for row, group in zip(table, brute_near_groups([t for _, t in table])):
+        of[group].append(row)
+    want = [min(rows_, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))[0] for rows_ in of.values()]
+    got = [r["doc_id"] for r in neardup.one_of_each(frame, work=work).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) < 40
+    assert neardup.one_of_each(empty).count() == 0 and neardup.one_of_each(clashing).columns == clashing.columns
+
+
+def test_dedup_stage_joins_edited_copies(spark, sf_dir):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    frame = spark.createDataFrame([(i, " ".join("x" if at in (50 * i, 50 * i + 20) else w for at, w in enumerate(words))) for i in range(4)], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, frame.where("doc_id < 2"), sf_dir).collect()] == [0]
+
+
 def test_tokens(docs, clashing, empty):
     from tokenizers import Tokenizer
 
