@@ -1,13 +1,16 @@
 """License scans by conditional compression.
 
-A block that may speak of a license is compressed alone and with each template as a raw zstandard dictionary. What a
-template saves ranks it; the best few are then compared with the block word by word, and the one with the fewest
-differences is confirmed if those stay within a share of its words.
+A block that may speak of a license is compressed alone and with each template as a raw zstandard dictionary. All
+templates that save bytes are then compared with the block word by word, and the one with the fewest differences is
+confirmed if those stay within a share of its words. Blocks are lines, and runs of words around cues with white space
+folded, in which statements wrapped over lines are found.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -38,43 +41,56 @@ TEMPLATES = {
 }
 #: A block without any of these isn't a candidate. Each template has one.
 CUES = ("licen", "permission is", "redistribut", "public domain", "rights reserved", "copyright")
-#: Blocks are lines; longer lines are cut at the ends of sentences.
+CUE = re.compile("|".join(c.replace(" ", r"[\W_]+") for c in CUES), re.IGNORECASE)
+#: Longer lines are cut at the ends of sentences.
 LONGEST_LINE = 600
-TOP = 4
 DIFFERENCE = 0.2
 LEVEL = 3
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=\S)")
 
 
-def blocks(text: str | None) -> Iterator[tuple[int, str]]:
-    """Start, in code points, and text of each candidate block."""
-    if not text or not any(c in text.lower() for c in CUES):
-        return
+def lines(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end, in code points, of each line or piece of a long line."""
     at = 0
     for line in text.split("\n"):
         cuts = [0, *(m.end() for m in SENTENCE_END.finditer(line)), len(line)] if len(line) > LONGEST_LINE else [0, len(line)]
         for a, b in zip(cuts, cuts[1:]):
-            if any(c in line[a:b].lower() for c in CUES):
-                yield at + a, line[a:b]
+            yield at + a, at + b
         at += len(line) + 1
 
 
-def differences(template: list[str], words: list[str]) -> tuple[list[str], list[str]]:
-    """The template's words that the block lacks, and the block's words between those it shares with the template."""
+def aligned(template: list[str], words: list[str]) -> tuple[list[str], list[str], int, int]:
+    """The template's words that the block lacks, the block's words between those it shares with the template, and where
+    in the block the shared ones begin and end. Shared runs at either end that cost more than they give don't count."""
     runs = [m for m in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if m.size]
     if not runs:
-        return template, []
+        return template, [], 0, 0
+
+    def cost(p: int, q: int) -> tuple[int, int]:
+        shared = sum(m.size for m in runs[p:q])
+        return len(template) - shared + runs[q - 1].b + runs[q - 1].size - runs[p].b - shared, p - q
+
+    p, q = min(((p, q) for p in range(len(runs)) for q in range(p + 1, len(runs) + 1)), key=lambda x: cost(*x))
+    runs = runs[p:q]
     lacking = [w for a, b in zip([0, *(m.a + m.size for m in runs)], [*(m.a for m in runs), len(template)]) for w in template[a:b]]
     added = [w for m, n in zip(runs, runs[1:]) for w in words[m.b + m.size : n.b]]
-    return lacking, added
+    return lacking, added, runs[0].b, runs[-1].b + runs[-1].size
+
+
+def differences(template: list[str], words: list[str]) -> tuple[list[str], list[str]]:
+    """The template's words that the block lacks, and the block's words between those it shares with the template."""
+    return aligned(template, words)[:2]
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], top: int, difference: float) -> None:
-        self.top, self.difference = top, difference
+    def __init__(self, templates: dict[str, str], difference: float) -> None:
+        self.difference = difference
         self.names = sorted(templates)
         self.words = {n: WORD.findall(templates[n].lower()) for n in self.names}
+        self.counts = {n: Counter(w) for n, w in self.words.items()}
+        #: Words on either side of a cue that a statement can reach.
+        self.reach = int(max(map(len, self.words.values()), default=0) * (1 + difference)) + 1
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.with_ = {n: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(templates[n].lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n in self.names}
 
@@ -84,34 +100,81 @@ class Scanner:
         alone = len(self.alone.compress(raw))
         return sorted(((alone - len(c.compress(raw)), n) for n, c in self.with_.items()), key=lambda x: (-x[0], x[1]))
 
-    def confirm(self, block: str) -> tuple | None:
-        """License, bytes saved, words lacking and added, of the winner; None if no template is near enough."""
-        words = WORD.findall(block.lower())
-        best = None
-        for saved, name in self.ranked(block)[: self.top]:
-            if saved <= 0:
+    def confirm(self, block: str, words: list[str]) -> tuple | None:
+        """License, bytes saved, words lacking and added, of the winner, and where in words it begins and ends; None if
+        no template is near enough."""
+        best, there = None, Counter(words)
+        most = {n: self.difference * len(w) for n, w in self.words.items()}
+        near = {n for n, c in self.counts.items() if (c - there).total() <= most[n]}
+        for saved, name in self.ranked(block) if near else []:
+            if saved <= 0 or name not in near:
                 continue
-            lacking, added = differences(self.words[name], words)
-            if len(lacking) + len(added) <= self.difference * len(self.words[name]):
-                row = (len(lacking) + len(added), -len(self.words[name]), -saved, name, saved, lacking, added)
+            lacking, added, begin, end = aligned(self.words[name], words)
+            if len(lacking) + len(added) <= most[name]:
+                row = (len(lacking) + len(added), -len(self.words[name]), -saved, name, saved, lacking, added, begin, end)
                 best = min(best, row) if best else row
-        return None if best is None else (best[3], best[4], best[5], best[6])
-
-
-def license_blocks(documents: DataFrame, templates: dict[str, str] = TEMPLATES, top: int = TOP, difference: float = DIFFERENCE) -> DataFrame:
-    """doc_id, start, license, saved (bytes), lacking and added (words) of each block whose license is confirmed.
+        return None if best is None else best[3:]
+
+    def statements(self, text: str | None) -> list[tuple]:
+        """Start of the line where it begins, license, bytes saved, words lacking and added, of each confirmed statement:
+        the best of each line, and those that run over several lines. What a longer one takes up isn't reported twice."""
+        if not text or not CUE.search(text):
+            return []
+        pieces, words = list(lines(text)), list(WORD.finditer(text))
+        starts, at = [a for a, _ in pieces], [m.start() for m in words]
+        lower = [m.group().lower() for m in words]
+        single, wrapped = [], {}
+
+        def best(lo: int, hi: int) -> Iterator[tuple]:
+            if lo >= hi or not CUE.search(text, at[lo], words[hi - 1].end()):
+                return
+            block = " ".join(text[at[lo] : words[hi - 1].end()].split())
+            if found := self.confirm(block, lower[lo:hi]):
+                begin, end = lo + found[4], lo + found[5]
+                yield begin, end, *found[:4]
+                yield from best(lo, begin)
+                yield from best(end, hi)
+
+        for cue in CUE.finditer(text):
+            w = max(bisect_right(at, cue.start()) - 1, 0)
+            for begin, end, *row in best(max(w - self.reach, 0), min(w + self.reach + 1, len(words))):
+                line = bisect_right(starts, at[begin]) - 1
+                if at[end - 1] >= pieces[line][1]:
+                    wrapped[begin, end] = (starts[line], *row)
+        # of overlapping ones, as neighbouring cues' runs may give, the one with fewer differences
+        taken, kept, used = [], [], set()
+        for (begin, end), row in sorted(wrapped.items(), key=lambda x: (len(x[1][3]) + len(x[1][4]), x[0][0] - x[0][1], x[0])):
+            if used.isdisjoint(range(begin, end)):
+                used.update(range(begin, end))
+                taken.append((begin, end))
+                kept.append(row)
+        for a, b in pieces:
+            if CUE.search(text, a, b):
+                lo, hi = bisect_right(at, a - 1), bisect_right(at, b - 1)
+                if found := self.confirm(text[a:b], lower[lo:hi]):
+                    single.append((lo + found[4], lo + found[5], (a, *found[:4])))
+        taken.sort()
+        begins = [a for a, _ in taken]
+        for begin, end, row in single:
+            before = bisect_right(begins, end - 1) - 1
+            if before < 0 or taken[before][1] <= begin:
+                kept.append(row)
+        return sorted(kept, key=lambda row: row[:2])
+
+
+def license_blocks(documents: DataFrame, templates: dict[str, str] = TEMPLATES, difference: float = DIFFERENCE) -> DataFrame:
+    """doc_id, start, license, saved (bytes), lacking and added (words) of each block whose license is confirmed. start is
+    that of the block's first line.
 
     Null and empty texts have no blocks. Repeated rows and null ids are each scanned; extra columns are left out.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(templates, top, difference)
+        scanner = Scanner(templates, difference)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
-                for start, block in blocks(text if isinstance(text, str) else None):
-                    if found := scanner.confirm(block):
-                        rows.append((doc_id, start, *found))
+                rows += [(doc_id, *row) for row in scanner.statements(text if isinstance(text, str) else None)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "license", "saved", "lacking", "added"]).astype({"doc_id": "Int64"})
 
     return common.documents_only(documents, "doc_id", "text").mapInPandas(scan, "doc_id long, start long, license string, saved int, lacking array<string>, added array<string>")

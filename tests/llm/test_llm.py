@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -382,6 +383,24 @@ def test_licenses(spark, docs, empty):
     assert licenses.differences(["a", "b", "c"], ["x", "a", "z", "c"]) == (["b"], ["z"])
 
 
+@pytest.mark.parametrize("width", [12, 40, 72])
+@pytest.mark.parametrize("prefix", ["", " * ", "# "])
+def test_licenses_over_lines(spark, width, prefix):
+    """Every template wrapped over lines, between other lines; and two statements after each other."""
+    wrap = lambda t: "\n".join(prefix + line for line in textwrap.wrap(t, width, break_long_words=False, break_on_hyphens=False))
+    names = sorted(licenses.TEMPLATES)
+    texts = [(i, "int main of this\n" + wrap(licenses.TEMPLATES[n]) + "\nthe rest of it\n") for i, n in enumerate(names)]
+    texts.append((99, wrap(licenses.TEMPLATES["reserved"]) + "\n" + wrap(licenses.TEMPLATES["mit-text"]) + "\n" + wrap(licenses.TEMPLATES["bsd-3"])))
+    got = sorted((r["doc_id"], r["license"]) for r in licenses.license_blocks(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert got == [*enumerate(names), (99, "bsd-3"), (99, "mit-text"), (99, "reserved")]
+
+
+def test_licenses_of_all_templates_are_confirmed():
+    near = {f"a{i}": "Alpha beta gamma delta licensed one two three four five six seven eight" + f" nine{i}" * 9 for i in range(6)}
+    near["z"] = "Alpha beta gamma delta licensed"
+    assert licenses.Scanner(near, 0.2).statements("Alpha beta gamma delta licensed one two three four")[0][1] == "z"
+
+
 def brute_base(table):
     counts, texts = collections.Counter(), [(d, [*words_of(lower(t)), None]) for d, t in table]
     train = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 != 0
