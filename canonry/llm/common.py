@@ -62,3 +62,34 @@ def split_words(text: str | None) -> list[bytes]:
 def documents_only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns of any name can't clash with those made later."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def with_row(documents: DataFrame, *columns: str) -> DataFrame:
+    """_row, a struct of all columns, beside doc_id, text and other named columns: whatever extra columns are called, they
+    can't clash with those made later."""
+    every = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row")
+    return documents.select(every, *[F.col(f"`{c}`") for c in ("doc_id", "text", *columns)])
+
+
+def unwrapped(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Back to the columns of documents, from rows with _row."""
+    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in documents.columns])
+
+
+#: Up to so many bytes a side is broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, materialised, and marked to be broadcast if its rows take so few bytes: texts, binaries and arrays by their
+    lengths, other values as eight."""
+    df = cut(df)
+
+    def width(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        return F.greatest(F.size(c), F.lit(0)) * 8 + 24 if kind.startswith("array") else F.lit(8)
+
+    size = df.agg(F.coalesce(F.sum(sum((width(n, k) for n, k in df.dtypes), F.lit(8)).cast("long")), F.lit(0)).alias("bytes")).first()["bytes"]
+    return F.broadcast(df) if size <= most else df
