@@ -13,7 +13,9 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -29,7 +31,7 @@ SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 KEPT = 200_000
 LONGEST_KEPT = 64
 PAIRS = 1_000_000
-#: Characters on whose class (letter, number, space) all Unicode versions in use agree; others go to the library.
+#: Characters on whose class (letter, number, space) all Unicode versions in use agree; others are asked of the library.
 PLAIN = regex.compile(r"[\x00-\x1b\x20-\x84\x86-ɏЀ-ҁҊ-ԯ‐-‧‰-⁞ぁ-ゖ一-龥가-힣\U0001f300-\U0001f5ff]*")
 CONTRACTIONS = {"'re": 3, "'ve": 3, "'ll": 3}
 
@@ -53,6 +55,23 @@ class Kept(dict):
         return value
 
 
+class Likeness(dict):
+    """A plain character of the same class for each character, as the library's own splitting into pieces tells."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        if PLAIN.fullmatch(char):
+            self[code] = char
+        else:
+            split = self.tokenizer().pre_tokenizer.pre_tokenize_str
+            self[code] = next((c for c in "a0#" if len(split(c + char)) == 1), "\t")
+        return self[code]
+
+
 def crosses(part: str) -> bool:
     """Whether white space at an end of the part, or none in it, lets a token depend on its neighbours."""
     return not part or part[0].isspace() or part[-1].isspace()
@@ -70,16 +89,24 @@ class Encoder:
         with open(f"{path}.tiktoken", "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.json, self.whole = f"{path}.json", None
+        self.like = Likeness(self.tokenizer)
         self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.after, self.first = Kept(lambda part: self.part(" " + part)), Kept(self.part)
 
-    def library(self, text: str) -> list[int]:
+    def tokenizer(self):
         if self.whole is None:
             from tokenizers import Tokenizer
 
             self.whole = Tokenizer.from_file(self.json)
-        return self.whole.encode(text, add_special_tokens=False).ids
+        return self.whole
+
+    def library(self, text: str) -> list[int]:
+        return self.tokenizer().encode(text, add_special_tokens=False).ids
+
+    def shape(self, text: str) -> str:
+        """The text with plain characters of the same class for all others: the library parts both at the same places."""
+        return text if PLAIN.fullmatch(text) else text.translate(self.like)
 
     def part(self, part: str) -> bytes | None:
         """None: the whole text must be encoded in one."""
@@ -112,19 +139,14 @@ class PrefixCounter:
         self.encoder = Encoder(path)
         self.ranks, self.single = self.encoder.ranks, self.encoder.core._encode_single_piece
         self.text_of = {i: t for t, i in self.ranks.items()}
-        self.backwards: dict = {}  # tokens by their bytes from last to first; at -1 the token
+        self.ending = ahocorasick.Automaton()  # all tokens that end at a place, the longest first
         for text, token in self.ranks.items():
-            node = self.backwards
-            for byte in reversed(text):
-                node = node.setdefault(byte, {})
-            node[-1] = token
+            self.ending.add_word(text.decode("latin-1"), (token, len(text)))
+        self.ending.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.states: dict[bytes, tuple[list[int], list[int]]] = {}
         self.piece = Kept(self.piece_counts)
-        self.after, self.first = Kept(lambda part: self.part(" " + part)), Kept(self.part)
-        self.ends = Kept(lambda piece: self.byte_counts(piece.encode("utf-8"))[-1])
-        self.after_total, self.first_total = Kept(lambda part: self.part_total(" " + part), 2 * KEPT), Kept(self.part_total)
+        self.after, self.first = Kept(lambda part: self.part(" " + part), 2 * KEPT), Kept(self.part)
 
     def fits(self, before: int, token: int) -> bool:
         """Whether the two tokens' text is encoded as these two."""
@@ -140,40 +162,24 @@ class PrefixCounter:
         return known
 
     def byte_counts(self, piece: bytes) -> list[int]:
-        """count[i] of tokens of piece[:i], for a piece that isn't split before BPE. A prefix that is kept is gone on from."""
-        for known in range(min(len(piece), LONGEST_KEPT), 3, -1):
-            if (got := self.states.get(piece[:known])) is not None:
-                break
-        else:
-            known, got = 0, ([0], [-1])
-        count, last = [*got[0]], [*got[1]]
-        backwards, pairs = self.backwards, self.pairs
-        for end in range(known + 1, len(piece) + 1):
-            node, found = backwards, []
-            for start in range(end - 1, -1, -1):  # all tokens that end here
-                node = node.get(piece[start])
-                if node is None:
-                    break
-                if (token := node.get(-1)) is not None:
-                    found += (start, token)
-            while found:  # the longest first, since it mostly fits
-                token, start = found.pop(), found.pop()
-                if start:
-                    fits = pairs.get(last[start] << 20 | token)
-                    if fits is None:
-                        fits = self.fits(last[start], token)
-                else:
-                    fits = self.stands(token)
-                if fits:
-                    count.append(count[start] + 1)
-                    last.append(token)
-                    break
+        """count[i] of tokens of piece[:i], for a piece that isn't split before BPE."""
+        count, last, done, pairs = [0], [-1], 0, self.pairs
+        for at, (token, length) in self.ending.iter(piece.decode("latin-1")):
+            if at < done:  # this prefix has its last token
+                continue
+            start = at + 1 - length
+            if start:
+                fits = pairs.get(last[start] << 20 | token)
+                if fits is None:
+                    fits = self.fits(last[start], token)
             else:
-                raise ValueError("the vocabulary lacks a single byte")
-        if len(piece) <= LONGEST_KEPT:
-            if len(self.states) > KEPT:
-                self.states.clear()
-            self.states[piece] = (count, last)
+                fits = self.stands(token)
+            if fits:
+                count.append(count[start] + 1)
+                last.append(token)
+                done = at + 1
+        if done != len(piece):
+            raise ValueError("the vocabulary lacks a single byte")
         return count
 
     def piece_counts(self, piece: str) -> tuple[int, ...]:
@@ -183,90 +189,82 @@ class PrefixCounter:
         count = self.byte_counts(piece.encode("utf-8"))
         if len(count) == len(piece) + 1:
             return tuple(count[1:])
-        ends = np.cumsum([len(c.encode("utf-8")) for c in piece])
-        return tuple(count[e] for e in ends)
+        return tuple([count[e] for e in accumulate([len(c.encode("utf-8")) for c in piece])])
 
     def counts(self, text: str) -> list[int]:
         """Tokens of text[:i] for i = 1...; text holds no special string."""
         out: list[int] = []
-        base = 0
-        pieces = self.encoder.pieces(text)
-        k = 0
-        while k < len(pieces):
-            piece = pieces[k]
-            if piece.isspace():  # a run may end in a space that belongs to the next piece; cut inside, it is one piece
-                run, k = piece, k + 1
-                while k < len(pieces) and pieces[k].isspace():
-                    run, k = run + pieces[k], k + 1
-                inner = self.piece[run + " "] if k < len(pieces) and pieces[k][0] == " " else self.piece[run]
+        base = at = 0
+        shape = self.encoder.shape(text)
+        shapes = self.encoder.pieces(shape)
+        pieces = shapes if shape is text else [text[a : a + len(x)] for a, x in zip(accumulate(map(len, shapes), initial=0), shapes)]
+        while at < len(pieces):
+            piece, kind = pieces[at], shapes[at]
+            if kind.isspace():  # a run may end in a space that belongs to the next piece; cut inside, it is one piece
+                run, at = piece, at + 1
+                while at < len(pieces) and shapes[at].isspace():
+                    run, at = run + pieces[at], at + 1
+                joined = at < len(pieces) and shapes[at][0] == " "
+                inner = self.piece[run + " " if joined else run]
                 out += [base + c for c in inner[: len(run)]]
-                if k < len(pieces):  # all but the run's last character is one piece, then its last
-                    head = run if pieces[k][0] == " " else run[:-1]
-                    tail = "" if pieces[k][0] == " " else run[-1]
+                if at < len(pieces):  # all but the run's last character is one piece, then its last
+                    head, tail = (run, "") if joined else (run[:-1], run[-1])
                     base += (self.piece[head][-1] if head else 0) + (self.piece[tail][-1] if tail else 0)
-                    if pieces[k][0] == " ":  # the space itself, as long as nothing follows it
+                    if joined:  # the space itself, as long as nothing follows it
                         out.append(out[-1] - inner[len(run) - 1] + inner[len(run)])
-                        out += [base + c for c in self.piece[pieces[k]][1:]]
-                        base += self.piece[pieces[k]][-1]
-                        k += 1
+                        out += [base + c for c in self.piece[pieces[at]][1:]]
+                        base += self.piece[pieces[at]][-1]
+                        at += 1
                 continue
             inner = self.piece[piece]
             out += [base + c for c in inner]
             base += inner[-1]
-            k += 1
+            at += 1
         return out
 
     def part(self, part: str) -> tuple[bytes, int] | None:
+        """Steps and their sum; None: the whole text must be counted in one."""
         body = part.removeprefix(" ")
-        if crosses(body) or not PLAIN.fullmatch(body):
+        if is_word(body):
+            count = self.piece[part]
+        elif crosses(self.encoder.shape(body)):
             return None
-        count = self.counts(part)
-        steps = [b - a for a, b in zip([0, *count], count)]
+        else:
+            count = self.counts(part)
+        steps = [b - a for a, b in zip((0, *count), count)]
         if max(steps) > 127 or min(steps) < -128:
             return None
         return array("b", steps).tobytes(), count[-1]
 
-    def steps(self, text: str | None) -> np.ndarray:
-        """int32 steps of the count from each code point to the next; their running sum is the count at every prefix."""
+    def steps(self, text: str | None) -> tuple[np.ndarray, int]:
+        """Steps of the count from each code point to the next, whose running sum is the count at every prefix; and the
+        count of the whole text."""
         if not text:
-            return np.zeros(0, "i4")
+            return np.zeros(0, "i1"), 0
         if SPECIAL in text:
             before, after = text.split(SPECIAL, 1)
-            open_ = np.diff(self.prefix_counts(before + SPECIAL[:-1]), prepend=0)
-            count = int(open_[: len(before)].sum()) + 1
-            return np.concatenate([open_, [count - open_.sum()], self.steps(after)]).astype("i4")
-        first, *rest = text.split(" ")
+            open_, _ = self.steps(before + SPECIAL[:-1])
+            rest, more = self.steps(after)
+            count = int(open_[: len(before)].sum(dtype="i8")) + 1
+            return np.concatenate([open_.astype("i4"), [count - open_.sum(dtype="i8")], rest]).astype("i4"), count + more
+        first, *others = text.split(" ")
         try:
-            parts = [self.first[first], *map(self.after.__getitem__, rest)]
-            return np.frombuffer(b"".join([p[0] for p in parts]), "i1").astype("i4")
-        except TypeError:
-            if PLAIN.fullmatch(text):
-                return np.diff(self.counts(text), prepend=0).astype("i4")
-            # rare characters, whose class the libraries' Unicode versions may not share: every prefix by the library
-            return np.diff([len(self.encoder.library(text[:i])) for i in range(1, len(text) + 1)], prepend=0).astype("i4")
+            parts = [self.first[first], *map(self.after.__getitem__, others)]
+            return np.frombuffer(b"".join([p[0] for p in parts]), "i1"), sum([p[1] for p in parts])
+        except TypeError:  # a None among them
+            counts = self.counts(text)
+            return np.diff(counts, prepend=0).astype("i4"), counts[-1]
 
     def prefix_counts(self, text: str | None) -> np.ndarray:
-        return np.cumsum(self.steps(text))
+        return np.cumsum(self.steps(text)[0], dtype="i8")
 
-    def part_total(self, part: str) -> int | None:
-        body = part.removeprefix(" ")
-        if is_word(body):
-            return self.byte_counts(part.encode("utf-8"))[-1]
-        if crosses(body) or not PLAIN.fullmatch(body):
-            return None
-        return sum(map(self.ends.__getitem__, self.encoder.pieces(part)))
 
-    def total(self, text: str | None) -> int:
-        """The count at the last prefix."""
-        if not text:
-            return 0
-        if SPECIAL in text:
-            return sum(map(self.total, text.split(SPECIAL))) + text.count(SPECIAL)
-        first, *rest = text.split(" ")
-        try:
-            return self.first_total[first] + sum(map(self.after_total.__getitem__, rest))
-        except TypeError:
-            return self.counts(text)[-1] if PLAIN.fullmatch(text) else len(self.encoder.library(text))
+def longest_fit(steps: np.ndarray, total: int, limit: int) -> int:
+    """Code points of the longest prefix with at most limit tokens, from the stored steps."""
+    if total <= limit:
+        return len(steps)
+    fit = np.flatnonzero(np.cumsum(steps, dtype="i8") <= limit)
+    return int(fit[-1]) + 1 if len(fit) else 0
 
 
 _made: dict[tuple[type, str], object] = {}
@@ -284,12 +282,13 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def token_counts(documents: DataFrame, limit: int = 512, path: str | None = None, prefixes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of each document, all from the counts at prefixes; fits: the longest
-    prefix, in code points, from which on every longer one has more than limit tokens. prefixes: also return steps,
-    array<int> of the count's steps from code point to code point, whose running sum is the count at every prefix.
+    """doc_id, n_bytes, n_tokens, over_limit and fits of each document, all from the counts at its prefixes; fits: code
+    points of the longest prefix with at most limit tokens. prefixes: also return steps, array<int> of the count's steps
+    from code point to code point, whose running sum is the count at every prefix.
 
-    Null and empty texts have no bytes and no tokens, and fit whole. Repeated rows and null ids are each answered.
-    An empty table gives an empty result. Extra columns are left out.
+    Null and empty texts have no bytes and no tokens, and fit whole. Very long texts are counted whole, in time and memory
+    that grow with their length. Repeated rows and null ids are each answered. An empty table gives an empty result.
+    Extra columns are left out.
     """
     path = path or vocabulary_path()
 
@@ -297,20 +296,15 @@ def token_counts(documents: DataFrame, limit: int = 512, path: str | None = None
         counter = worker(PrefixCounter, path)
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            if prefixes:
-                steps = [counter.steps(t) for t in texts]
-                counts = [np.cumsum(s) for s in steps]
-                totals = [int(c[-1]) if len(c) else 0 for c in counts]
-                fits = [int(np.flatnonzero(c <= limit)[-1]) + 1 if (c <= limit).any() else 0 for c in counts]
-            else:
-                totals = [counter.total(t) for t in texts]
-            out = pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len(t.encode("utf-8")) for t in texts], "n_tokens": totals})
+            stored = [counter.steps(t) for t in texts]
+            out = pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len(t.encode("utf-8")) for t in texts], "n_tokens": [total for _, total in stored]})
             out["over_limit"] = out["n_tokens"] > limit
+            out["fits"] = [longest_fit(steps, total, limit) for steps, total in stored]
             if prefixes:
-                out["fits"], out["steps"] = fits, steps
+                out["steps"] = [steps.astype("i4") for steps, _ in stored]
             yield out
 
-    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean" + ", fits long, steps array<int>" * prefixes
+    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits long" + ", steps array<int>" * prefixes
     return common.documents_only(documents, "doc_id", "text").mapInPandas(count, schema)
 
 
