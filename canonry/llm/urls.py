@@ -18,7 +18,9 @@ from . import common
 
 #: (verdict, rule); the longest that fits a url decides.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-STEPS, DAMPING, CHECKPOINT_EVERY = 6, 0.85, 3
+DAMPING, CHECKPOINT_EVERY = 0.85, 4
+#: Propagation ends when so many steps as lie between checkpoints move less mass than this, of 1 for each kind.
+TOLERANCE = 1e-6
 #: A host is blocked if its distrust, as a share of all, is over so many times its trust.
 RATIO = 1.0
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"'<>]+)"""
@@ -50,9 +52,14 @@ def rule_columns(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return (rule, verdict) if rules else (F.lit(None).cast("string"),) * 2
 
 
+def links_of(html: Column) -> Column:
+    """Absolute links of a page, in order."""
+    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LINK), 1)
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst, weight over distinct hosts. pages: host, html."""
-    links = pages.where("host <> ''").select("host", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 1)).alias("url"))
+    """src, dst, weight over distinct hosts. pages: host, links."""
+    links = pages.where("host <> ''").select("host", F.explode("links").alias("url"))
     named = links.select(F.col("host").alias("src"), host_of(F.when(F.col("url").startswith("//"), F.concat(F.lit("http:"), "url")).otherwise(F.col("url"))).alias("dst"))
     linked = named.where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     hosts = linked.select(F.col("src").alias("h")).union(linked.select("dst")).union(pages.select("host")).where("h <> ''").distinct()
@@ -64,18 +71,31 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """host, mass: personalised PageRank after so many steps. seeds: host, seed (summing to 1). Ranks at hosts without
-    links out are lost, as at each step the seeds give the rest back."""
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    shares = common.cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    ranks = seeds.select("host", F.col("seed").alias("mass"))
-    for step in range(1, steps + 1):
-        moved = ranks.join(shares, ranks["host"] == shares["src"]).select(F.col("dst").alias("host"), (damping * F.col("mass") * F.col("share")).alias("mass"))
-        ranks = moved.union(seeds.select("host", ((1 - damping) * F.col("seed")).alias("mass"))).groupBy("host").agg(F.sum("mass").alias("mass"))
-        if step % CHECKPOINT_EVERY == 0:
-            ranks = common.cut(ranks)
-    return ranks
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """kind, host, mass: personalised PageRank, converged. edges: kind, src, dst, weight; seeds: kind, host, seed, those of
+    each kind summing to 1. Kinds are apart, and go through the same steps.
+
+    From the seeds on, ranks only grow, so the change of their sum is the mass that moved. What reaches a host without
+    links out goes back to the seeds: as the equation is linear, that is the solution without it, scaled to a sum of 1.
+    """
+    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
+    shares = common.small(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (damping * F.col("weight") / F.col("total")).alias("share")))
+    start = common.cut(seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("mass")))
+    ranks, before = start, 0.0
+    while True:
+        whole = ranks.agg(F.coalesce(F.sum("mass"), F.lit(0.0)).alias("mass")).first()["mass"]
+        if whole - before < tolerance:
+            break
+        before = whole
+        for _ in range(CHECKPOINT_EVERY):
+            moved = ranks.join(shares, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share")).alias("mass"))
+            ranks = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+        ranks = common.cut(ranks)
+    sums = {r["kind"]: r["mass"] for r in ranks.groupBy("kind").agg(F.sum("mass").alias("mass")).collect()}  # a row for each kind
+    scale = F.lit(1.0)
+    for kind, mass in sums.items():
+        scale = F.when(F.col("kind") == kind, F.lit(float(mass))).otherwise(scale)
+    return ranks.select("kind", "host", (F.col("mass") / scale).alias("mass"))
 
 
 def seed_table(judged: DataFrame, verdict: str) -> DataFrame:
@@ -86,25 +106,26 @@ def seed_table(judged: DataFrame, verdict: str) -> DataFrame:
     return counts.select("host", (F.col("n") / F.lit(total)).alias("seed"))
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, steps: int = STEPS, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: float = DAMPING, ratio: float = RATIO, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule and verdict of every page, with the host's trust and distrust.
 
     A url that is null or has no "://" has an empty host and path, and no rule. Hosts that neither trust nor distrust
-    reaches are allowed, so are empty ones. Repeated rows and null ids are each judged; extra columns are left out.
+    reaches are allowed, so are empty ones, and those where both are equal. Very long pages are read whole. Repeated rows
+    and null ids are each judged; an empty table gives an empty result; extra columns are left out.
     """
-    base = common.documents_only(pages, "page_id", "url", "html").select("page_id", host_of(F.coalesce("url", F.lit(""))).alias("host"), path_of(F.coalesce("url", F.lit(""))).alias("path"), "html")
+    url = F.coalesce("url", F.lit(""))
+    read = common.cut(common.documents_only(pages, "page_id", "url", "html").select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), links_of(F.col("html")).alias("links")))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    slim = base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("_verdict"))
-    edges = common.cut(host_edges(base.select("host", "html")))
-    trust = propagate(edges, seed_table(slim, "allow"), steps, damping)
-    reversed_ = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(reversed_, seed_table(slim, "block"), steps, damping)
-    masses = trust.select("host", F.col("mass").alias("trust"), F.lit(0.0).alias("distrust")).union(distrust.select("host", F.lit(0.0), "mass"))
-    hosts = common.cut(masses.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).withColumnRenamed("host", "_host"))
+    slim = read.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("_verdict"))
+    edges = common.cut(host_edges(read))
+    kinds = edges.withColumn("kind", F.lit("trust")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit("distrust").alias("kind")))
+    seeds = seed_table(slim, "allow").withColumn("kind", F.lit("trust")).unionByName(seed_table(slim, "block").withColumn("kind", F.lit("distrust")))
+    mass_of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0.0)).alias(kind)
+    hosts = common.small(propagate(kinds, seeds, damping, tolerance).groupBy("host").agg(mass_of("trust"), mass_of("distrust")).withColumnRenamed("host", "_host"))
     known = slim.join(hosts, F.col("host") == F.col("_host"), "left")
-    trust_, distrust_ = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
-    by_graph = F.when(distrust_ > ratio * trust_, "block").otherwise("allow")
-    return known.select("page_id", "host", "path", "rule", F.coalesce("_verdict", by_graph).alias("verdict"), trust_.alias("trust"), distrust_.alias("distrust"))
+    trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
+    by_graph = F.when(distrust > ratio * trust, "block").otherwise("allow")
+    return known.select("page_id", "host", "path", "rule", F.coalesce("_verdict", by_graph).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
