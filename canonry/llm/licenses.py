@@ -1,9 +1,12 @@
 """License scans by conditional compression.
 
-A block that may speak of a license is compressed alone and with each template as a raw zstandard dictionary. All
-templates that save bytes are then compared with the block word by word, and the one with the fewest differences is
-confirmed if those stay within a share of its words. Blocks are lines, and runs of words around cues with white space
-folded, in which statements wrapped over lines are found.
+A candidate block is compressed alone and with each template as a raw zstandard dictionary. Templates are ranked by the
+bytes they save, and those that save any are confirmed by comparing wordings word by word: a template's words that the
+block lacks, and words between, may be a share of the template's.
+
+Candidates come from the templates themselves. Where at most k of a template's n words differ, n // (k + 1) neighbouring
+ones are unchanged; so wherever so many neighbouring words of a template occur in a text, the words around that place are
+a block, however lines are wrapped or marked as comments.
 """
 
 from __future__ import annotations
@@ -14,13 +17,14 @@ from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import ahocorasick
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-#: Short statements and openings by license; wordings are fixed values, as their licensors give them.
+#: Statements, openings and whole texts by license; wordings are fixed values, as their licensors give them.
 TEMPLATES = {
     "mit": "Released under the MIT License.",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
@@ -38,26 +42,15 @@ TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc0-1.0": "Released into the public domain under CC0 1.0.",
     "reserved": "All rights reserved.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "bsd-2-whole": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "mit-whole": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
 }
-#: A block without any of these isn't a candidate. Each template has one.
-CUES = ("licen", "permission is", "redistribut", "public domain", "rights reserved", "copyright")
-CUE = re.compile("|".join(c.replace(" ", r"[\W_]+") for c in CUES), re.IGNORECASE)
-#: Longer lines are cut at the ends of sentences.
-LONGEST_LINE = 600
 DIFFERENCE = 0.2
 LEVEL = 3
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=\S)")
-
-
-def lines(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end, in code points, of each line or piece of a long line."""
-    at = 0
-    for line in text.split("\n"):
-        cuts = [0, *(m.end() for m in SENTENCE_END.finditer(line)), len(line)] if len(line) > LONGEST_LINE else [0, len(line)]
-        for a, b in zip(cuts, cuts[1:]):
-            yield at + a, at + b
-        at += len(line) + 1
 
 
 def aligned(template: list[str], words: list[str]) -> tuple[list[str], list[str], int, int]:
@@ -78,19 +71,22 @@ def aligned(template: list[str], words: list[str]) -> tuple[list[str], list[str]
     return lacking, added, runs[0].b, runs[-1].b + runs[-1].size
 
 
-def differences(template: list[str], words: list[str]) -> tuple[list[str], list[str]]:
-    """The template's words that the block lacks, and the block's words between those it shares with the template."""
-    return aligned(template, words)[:2]
-
-
 class Scanner:
     def __init__(self, templates: dict[str, str], difference: float) -> None:
-        self.difference = difference
         self.names = sorted(templates)
         self.words = {n: WORD.findall(templates[n].lower()) for n in self.names}
         self.counts = {n: Counter(w) for n, w in self.words.items()}
-        #: Words on either side of a cue that a statement can reach.
-        self.reach = int(max(map(len, self.words.values()), default=0) * (1 + difference)) + 1
+        self.most = {n: int(difference * len(w) + 1e-9) for n, w in self.words.items()}
+        #: Anchors: neighbouring words of templates, with the templates and places that they come from.
+        anchors: dict[str, list[tuple[str, int]]] = {}
+        for n, words in self.words.items():
+            size = max(len(words) // (self.most[n] + 1), 1)
+            for i in range(len(words) - size + 1):
+                anchors.setdefault(f" {' '.join(words[i : i + size])} ", []).append((n, i))
+        self.anchors = ahocorasick.Automaton()
+        for text, places in anchors.items():
+            self.anchors.add_word(text, (len(text), places))
+        self.anchors.make_automaton()
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.with_ = {n: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(templates[n].lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n in self.names}
 
@@ -100,73 +96,72 @@ class Scanner:
         alone = len(self.alone.compress(raw))
         return sorted(((alone - len(c.compress(raw)), n) for n, c in self.with_.items()), key=lambda x: (-x[0], x[1]))
 
-    def confirm(self, block: str, words: list[str]) -> tuple | None:
-        """License, bytes saved, words lacking and added, of the winner, and where in words it begins and ends; None if
-        no template is near enough."""
-        best, there = None, Counter(words)
-        most = {n: self.difference * len(w) for n, w in self.words.items()}
-        near = {n for n, c in self.counts.items() if (c - there).total() <= most[n]}
+    def lacks(self, name: str, there: Counter) -> bool:
+        """Whether more of a template's words are missing than may differ."""
+        return (self.counts[name] - there).total() > self.most[name]
+
+    def confirm(self, block: str, words: list[str]) -> Iterator[tuple]:
+        """License, bytes saved, words lacking and added, and where in words it begins and ends, of all templates that save
+        bytes and whose wording is near enough."""
+        there = Counter(words)
+        near = {n for n in self.names if not self.lacks(n, there)}
         for saved, name in self.ranked(block) if near else []:
-            if saved <= 0 or name not in near:
-                continue
-            lacking, added, begin, end = aligned(self.words[name], words)
-            if len(lacking) + len(added) <= most[name]:
-                row = (len(lacking) + len(added), -len(self.words[name]), -saved, name, saved, lacking, added, begin, end)
-                best = min(best, row) if best else row
-        return None if best is None else best[3:]
+            if saved > 0 and name in near:
+                lacking, added, begin, end = aligned(self.words[name], words)
+                if len(lacking) + len(added) <= self.most[name]:
+                    yield name, saved, lacking, added, begin, end
+
+    def windows(self, words: list[str]) -> Iterator[tuple[int, int]]:
+        """First and last word, less one, of each place around an anchor that has enough of its template's words."""
+        joined, starts, seen = f" {' '.join(words)} ", None, set()
+        for end, (length, places) in self.anchors.iter(joined):
+            if starts is None:
+                starts, at = [], 1
+                for w in words:
+                    starts.append(at)
+                    at += len(w) + 1
+            word = bisect_right(starts, end - length + 2) - 1
+            for name, i in places:
+                if (name, word - i) in seen:
+                    continue
+                seen.add((name, word - i))
+                spare = self.most[name]
+                lo, hi = max(word - i - spare, 0), min(word - i + len(self.words[name]) + spare, len(words))
+                if not self.lacks(name, Counter(words[lo:hi])):
+                    yield lo, hi
 
     def statements(self, text: str | None) -> list[tuple]:
-        """Start of the line where it begins, license, bytes saved, words lacking and added, of each confirmed statement:
-        the best of each line, and those that run over several lines. What a longer one takes up isn't reported twice."""
-        if not text or not CUE.search(text):
+        """Start of the line where it begins, license, bytes saved, words lacking and added, of each confirmed statement. Of
+        statements that share words, the one with the most words less twice its differences is reported; ties go to the
+        one with more bytes saved, then the first by name."""
+        if not text:
+            return []
+        lower = [w.lower() for w in WORD.findall(text)]
+        blocks = sorted(set(self.windows(lower)))
+        if not blocks:
             return []
-        pieces, words = list(lines(text)), list(WORD.finditer(text))
-        starts, at = [a for a, _ in pieces], [m.start() for m in words]
-        lower = [m.group().lower() for m in words]
-        single, wrapped = [], {}
-
-        def best(lo: int, hi: int) -> Iterator[tuple]:
-            if lo >= hi or not CUE.search(text, at[lo], words[hi - 1].end()):
-                return
-            block = " ".join(text[at[lo] : words[hi - 1].end()].split())
-            if found := self.confirm(block, lower[lo:hi]):
-                begin, end = lo + found[4], lo + found[5]
-                yield begin, end, *found[:4]
-                yield from best(lo, begin)
-                yield from best(end, hi)
-
-        for cue in CUE.finditer(text):
-            w = max(bisect_right(at, cue.start()) - 1, 0)
-            for begin, end, *row in best(max(w - self.reach, 0), min(w + self.reach + 1, len(words))):
-                line = bisect_right(starts, at[begin]) - 1
-                if at[end - 1] >= pieces[line][1]:
-                    wrapped[begin, end] = (starts[line], *row)
-        # of overlapping ones, as neighbouring cues' runs may give, the one with fewer differences
-        taken, kept, used = [], [], set()
-        for (begin, end), row in sorted(wrapped.items(), key=lambda x: (len(x[1][3]) + len(x[1][4]), x[0][0] - x[0][1], x[0])):
+        spans = [m.span() for m in WORD.finditer(text)]
+        found = set()
+        for lo, hi in blocks:
+            block = " ".join(text[spans[lo][0] : spans[hi - 1][1]].split())
+            for name, saved, lacking, added, begin, end in self.confirm(block, lower[lo:hi]):
+                score = len(self.words[name]) - 2 * (len(lacking) + len(added))
+                found.add((-score, -saved, name, lo + begin, lo + end, tuple(lacking), tuple(added)))
+        kept, used = [], set()
+        for _, saved, name, begin, end, lacking, added in sorted(found):
             if used.isdisjoint(range(begin, end)):
                 used.update(range(begin, end))
-                taken.append((begin, end))
-                kept.append(row)
-        for a, b in pieces:
-            if CUE.search(text, a, b):
-                lo, hi = bisect_right(at, a - 1), bisect_right(at, b - 1)
-                if found := self.confirm(text[a:b], lower[lo:hi]):
-                    single.append((lo + found[4], lo + found[5], (a, *found[:4])))
-        taken.sort()
-        begins = [a for a, _ in taken]
-        for begin, end, row in single:
-            before = bisect_right(begins, end - 1) - 1
-            if before < 0 or taken[before][1] <= begin:
-                kept.append(row)
+                kept.append((text.rfind("\n", 0, spans[begin][0]) + 1, name, -saved, list(lacking), list(added)))
         return sorted(kept, key=lambda row: row[:2])
 
 
 def license_blocks(documents: DataFrame, templates: dict[str, str] = TEMPLATES, difference: float = DIFFERENCE) -> DataFrame:
     """doc_id, start, license, saved (bytes), lacking and added (words) of each block whose license is confirmed. start is
-    that of the block's first line.
+    that of the line where it begins.
 
-    Null and empty texts have no blocks. Repeated rows and null ids are each scanned; extra columns are left out.
+    Null and empty texts have no blocks; very long ones are scanned whole, lines of any length alike. Ties are as in
+    Scanner.statements. Repeated rows and null ids are each scanned; an empty table gives an empty result; extra columns
+    are left out.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
