@@ -93,3 +93,25 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
 
     size = df.agg(F.coalesce(F.sum(sum((width(n, k) for n, k in df.dtypes), F.lit(8)).cast("long")), F.lit(0)).alias("bytes")).first()["bytes"]
     return F.broadcast(df) if size <= most else df
+
+
+def text_key() -> Column:
+    """Of the column text; a null text counts as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def same_document(a: DataFrame, b: DataFrame) -> Column:
+    """Whether doc_id, null or not, and tkey are equal: such rows are repeats."""
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tkey"] == b["tkey"])
+
+
+def first_of_each(documents: DataFrame, members: DataFrame) -> DataFrame:
+    """Of each root's documents the row with the smallest doc_id, one with a null id only if all are null; of rows that
+    repeat an id and text one stays. Columns unchanged. members: doc_id, tkey, root of every row."""
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tkey")).alias("row"))
+    stay = cut(first.select(F.col("row.doc_id").alias("doc_id"), F.col("row.tkey").alias("tkey")))
+    rows = with_row(documents).withColumn("tkey", text_key())
+    kept = rows.join(stay, same_document(rows, stay), "left_semi")
+    if not members.groupBy("doc_id", "tkey").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "tkey"])
+    return unwrapped(kept, documents)

@@ -44,14 +44,14 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
 
 
 def fingerprints(documents: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (signed long) of every document; null texts count as empty."""
+    """doc_id, tkey (of the text), fp (signed long) of every document; null texts count as empty."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t if isinstance(t, str) else None, width, seed) for t in batch["text"]], "u8")
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp.view("i8")})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "tkey": batch["tkey"], "fp": fp.view("i8")})
 
-    return common.documents_only(documents, "doc_id", "text").mapInPandas(each, "doc_id long, fp long")
+    return common.documents_only(documents, "doc_id", "text").withColumn("tkey", common.text_key()).mapInPandas(each, "doc_id long, tkey long, fp long")
 
 
 def segment_counts(fp: Column, segments: int) -> list[Column]:
@@ -121,13 +121,13 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS,
     return found.unionByName(exact).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root of each node that has a link: the smallest of its component, by alternating large and small stars.
 
     Both stars only take a minimum for each node, summed up before the shuffle, so that no node's links meet in a task.
     """
     links_ = common.cut(edges.select("a", "b").where("a <> b").distinct())
-    for _ in range(rounds):
+    while True:  # the stars settle in about the square of the logarithm of the nodes
         both = links_.unionByName(links_.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
@@ -139,36 +139,33 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         links_ = after
         if same:
             return links_.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(links_.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(documents: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links, of each document.
-
-    Documents without words, null texts among them, have fingerprint zero and are linked like any other. Repeated rows
-    are each answered. A null doc_id is no candidate for the smallest; a component of null ids alone has a null
-    component_id. An empty table gives an empty result. Extra columns are left out.
-    """
+def grouped(documents: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
+    """doc_id, tkey, fp, root (a fingerprint) and component_id of every document."""
     prints = common.cut(fingerprints(documents))
     distinct = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     reach = components(links(distinct.select("fp"), distance, segments, crowd))
-    linked = distinct.join(reach, distinct["fp"] == reach["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = common.cut(linked)
+    linked = common.cut(distinct.join(reach, distinct["fp"] == reach["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = linked.join(roots, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(labels, prints["fp"] == labels["_fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labels = linked.join(roots, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
+    return prints.join(labels, prints["fp"] == labels["_fp"]).select("doc_id", "tkey", "fp", "root", "component_id")
 
 
-def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """The documents without near duplicates: of each component, the one with the smallest doc_id stays.
+def near_duplicates(documents: DataFrame, **options) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links, of each document.
 
-    Documents with a null id can't be named and stay as they are; of rows that repeat an id one stays.
+    Documents without words, null texts among them, have fingerprint zero and are linked like any other. Very long texts
+    are read whole, in bounded memory. Repeated rows are each answered. A null doc_id is no candidate for the smallest; a
+    component of null ids alone has a null component_id. An empty table gives an empty result. Extra columns are left out.
     """
-    members = common.cut(near_duplicates(documents, **options))
-    stay = members.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    repeated = not stay.where("n > 1").isEmpty()
-    named = documents.where("doc_id is not null").join(stay.select(F.col("doc_id").alias("_stay")), F.col("doc_id") == F.col("_stay"), "left_semi")
-    return (named.dropDuplicates(["doc_id"]) if repeated else named).unionByName(documents.where("doc_id is null"))
+    return grouped(documents, **options).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(documents: DataFrame, **options) -> DataFrame:
+    """The documents without those whose fingerprints are near, whatever their texts: common.first_of_each of the
+    components, row by row, null ids too."""
+    return common.first_of_each(documents, common.cut(grouped(documents, **options).select("doc_id", "tkey", "root")))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
