@@ -117,7 +117,8 @@ def digests(turns: DataFrame, path: str | None = None) -> DataFrame:
     """One row per conversation, read back from turn_ids' rows in their order.
 
     A conversation's hash follows its turns one by one; they pass through in sorted order, never gathered, whatever
-    their number. Ties between turns go by role and text; a null conv_id is a conversation of its own.
+    their number. Ties between turns go by role and text, repeated rows are turns of their own; a null conv_id is a
+    conversation of its own. Very long texts are read whole, one at a time. An empty table gives an empty result.
     """
     path = path or tokens.vocabulary_path()
     ordered = turns.repartition(F.col("conv_id")).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("_role").asc_nulls_first(), F.col("_text").asc_nulls_first())

@@ -165,7 +165,10 @@ def prune(conditions: tuple[Condition, ...], rows: list[tuple[dict, int]]) -> tu
 
 def learn(rows: list[tuple[dict, int]], most_rules: int = 12, most_conditions: int = 3, precision: float = 0.97, least: int = 5) -> list[Rule]:
     """Ordered rules that reject, from (features, 1 if bad). Each must be right on `precision` of the rows it covers, in
-    the part it was grown from and in the part it was pruned on, and cover `least` bad ones. No bad rows: no rules."""
+    the part it was grown from and in the part it was pruned on, and cover `least` bad ones. No bad rows: no rules. The
+    size of the list is bounded by parameters of the fit: most_rules, most_conditions in each, and 64 thresholds a feature
+    at its quantiles; none of them depends on the size of the input. Of equal gains the first feature and lowest threshold
+    wins."""
     cuts = {f: thresholds([row[f] for row, _ in rows]) for f in FEATURES}
     rules: list[Rule] = []
     left = rows
@@ -184,7 +187,7 @@ def learn(rows: list[tuple[dict, int]], most_rules: int = 12, most_conditions: i
 
 
 def labelled_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[dict, int]]:
-    """Features of at most `sample` labelled documents, in a fixed order; a bound on what the driver gets."""
+    """Features of at most `sample` labelled documents, one for each id, in a fixed order; a bound on what the driver gets."""
     chosen = (
         labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality"))
         .where("_id is not null and _quality is not null")
@@ -193,7 +196,9 @@ def labelled_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     )
     docs = common.documents_only(documents, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     stats = statistics(docs.select("doc_id", "text"))
-    marked = stats.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", *FEATURES, (1 - F.col("_quality")).alias("bad"))
+    # of documents that share an id, one: the driver gets a row for each id at most
+    one = stats.groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("of")).select("doc_id", "of.*")
+    marked = one.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", *FEATURES, (1 - F.col("_quality")).alias("bad"))
     found = sorted((tuple(r[f] for f in ("doc_id", *FEATURES)), r["bad"]) for r in marked.collect())
     return [(dict(zip(FEATURES, map(float, values[1:]))), int(bad)) for values, bad in found]
 
@@ -209,7 +214,9 @@ def verdict(rules: list[Rule]) -> Column:
 def judge(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     """doc_id, the counts, base_failed, rule (the learned rule that rejects, 0 if none) and kept of each document.
 
-    Null and empty texts have no words and fail. Repeated rows and null ids are each judged; extra columns are left out.
+    Null and empty texts have no words and fail; very long ones are read whole. Rules hold in their order, so there are no
+    ties between them. Repeated rows and null ids are each judged; an empty table gives an empty result; extra columns are
+    left out.
     """
     return statistics(documents).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

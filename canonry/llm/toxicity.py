@@ -1,8 +1,7 @@
 """Toxicity by multiple-instance learning: a document is toxic if any of its sentences is.
 
 A sentence's chance is a logistic score of its hashed words and their beginnings; a document's is the noisy-or over its
-sentences. The
-weights are trained from document labels alone, on at most `sample` labelled documents, and then show which sentences
+sentences. The weights are trained from document labels alone, on at most `sample` labelled documents, and then show which sentences
 offend.
 """
 
@@ -117,7 +116,7 @@ def train(words: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray,
 
 
 def labelled_bags(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> tuple[list, list, np.ndarray]:
-    """Bags of at most `sample` labelled documents outside the held-out fold, in a fixed order."""
+    """Bags of at most `sample` labelled documents outside the held-out fold, one for each id, in a fixed order."""
     chosen = (
         labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
         .where(F.col("_id").isNotNull() & F.col("_toxic").isNotNull() & (common.crc32_mod(F.col("_id"), folds) != 0))
@@ -132,7 +131,9 @@ def labelled_bags(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE,
             found = [bags(t if isinstance(t, str) else None, of) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["_toxic"], "words": [w.tobytes() for w, _ in found], "sizes": [s.tobytes() for _, s in found]})
 
-    rows = docs.select("doc_id", "text", "_toxic").mapInPandas(hashed, "doc_id long, toxic int, words binary, sizes binary").collect()
+    made = docs.select("doc_id", "text", "_toxic").mapInPandas(hashed, "doc_id long, toxic int, words binary, sizes binary")
+    # of documents that share an id, one: the driver gets a row for each id at most
+    rows = made.groupBy("doc_id").agg(F.min(F.struct("words", "sizes", "toxic")).alias("of")).select("doc_id", "of.*").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["words"])))
     return [np.frombuffer(r["words"], "i4") for r in rows], [np.frombuffer(r["sizes"], "i4") for r in rows], np.array([r["toxic"] for r in rows], "i8")
 
@@ -144,7 +145,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: in
 def scored(documents: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
     """doc_id, held_out, score and predicted of every document. A text without words has the prior as its score.
 
-    Repeated rows and null ids (held out like the empty text) are each scored; extra columns are left out.
+    Very long texts are scored whole. A score of 0.5 is predicted toxic. Repeated rows and null ids (held out like the
+    empty text) are each scored; an empty table gives an empty result; extra columns are left out.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights
 
