@@ -7,22 +7,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import CONTROL, SPACES
+from ..functions.normalize import BEYOND, CONTROL, SPACES, composed_key_sql, with_keys
 from ..functions.text import standardized_name
-from .mappings import raw_lookup, small
+from .mappings import dictionary, small
 
 
-def _joined(source: DataFrame, mappings: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, Column]]:
-    """source joined to each watched column's mapping, and the aliases by column.
+def _joined(source: DataFrame, mappings: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """source joined to each watched column's mapping; the aliases, and whether a value is blank, by column.
 
-    Spellings are looked up as they are: keys are worked out on the distinct ones, so rows never pass through Python.
+    Keys are worked out where the rows are, without a shuffle; only mappings are measured, and broadcast if small.
     """
-    out, alias = source, {}
+    out = with_keys(source, {c: f"_key{i}" for i, c in enumerate(mappings)})
+    alias, blank = {}, {}
     for i, (column, mapping) in enumerate(mappings.items()):
-        found = raw_lookup(source, column, mapping).select(F.col("raw").alias(f"_raw{i}"), F.col("alias").alias(f"_alias{i}"))
-        out = out.join(small(found), F.col(f"`{column}`").cast("string") == F.col(f"_raw{i}"), "left")
-        alias[column] = F.col(f"_alias{i}")
-    return out, alias
+        found = dictionary(mapping).select(F.col("nv").alias(f"_nv{i}"), F.col("alias_name").alias(f"_alias{i}"))
+        out = out.join(small(found), F.col(f"_key{i}") == F.col(f"_nv{i}"), "left")
+        alias[column], blank[column] = F.col(f"_alias{i}"), F.coalesce(f"_key{i}", F.lit("")) == ""
+    return out, alias, blank
 
 
 def is_blank(value: Column) -> Column:
@@ -35,9 +36,9 @@ def standardize(source: DataFrame, mappings: dict[str, DataFrame], unmapped_rows
 
     A row stays if each watched value is blank or mapped; with unmapped_rows all rows stay, unmapped values as they are.
     """
-    out, alias = _joined(source, mappings)
+    out, alias, blank = _joined(source, mappings)
     if not unmapped_rows and mappings:
-        out = out.where(reduce(lambda a, b: a & b, [alias[c].isNotNull() | is_blank(F.col(f"`{c}`").cast("string")) for c in mappings]))
+        out = out.where(reduce(lambda a, b: a & b, [alias[c].isNotNull() | blank[c] for c in mappings]))
     return out.select(*[F.coalesce(alias[c], F.col(f"`{c}`").cast("string")).alias(c) if c in mappings else F.col(f"`{c}`") for c in source.columns])
 
 
@@ -47,7 +48,7 @@ def companion_columns(source: DataFrame, mappings: dict[str, DataFrame]) -> Data
     for column in mappings:
         if standardized_name(column).lower() in taken:
             raise ValueError(f"{standardized_name(column)} exists already")
-    out, alias = _joined(source, mappings)
+    out, alias, _ = _joined(source, mappings)
     return out.select(*[F.col(f"`{c}`") for c in source.columns], *[alias[c].alias(standardized_name(c)) for c in mappings])
 
 
@@ -99,10 +100,19 @@ def guard(source: str, target: str, internal: tuple[str, ...] = (), claims: dict
 
 
 def view_sql(source: str, columns: list[str], maps: dict[str, str], unmapped_rows: bool = False) -> str:
-    """A live view over a source table and mapping tables (nv, alias_name), joined on the key; needs value_normalize."""
+    """A live view over a source table and mapping tables (nv, alias_name), joined on the key; needs value_normalize. Rows
+    whose watched values need no composing are keyed without it."""
     from ..functions.text import quoted
 
+    watched = {c: f"cast(s.{quoted(c)} as string)" for c in maps}
+    odd = " OR ".join(f"coalesce({x} rlike r'{BEYOND}', false)" for x in watched.values()) or "false"
+
+    def part(key, where: str) -> str:
+        keys = "".join(f", {key(x)} AS _key{i}" for i, x in enumerate(watched.values()))
+        return f"SELECT s.*{keys} FROM {quoted(source)} s WHERE {where}"
+
+    rows = f"({part(composed_key_sql, f'NOT ({odd})')} UNION ALL {part('value_normalize({})'.format, odd)})" if maps else quoted(source)
     shown = ", ".join(f"coalesce(m{list(maps).index(c)}.alias_name, cast(s.{quoted(c)} as string)) AS {quoted(c)}" if c in maps else f"s.{quoted(c)}" for c in columns)
-    joins = " ".join(f"LEFT JOIN {quoted(t)} m{i} ON m{i}.nv = value_normalize(cast(s.{quoted(c)} as string))" for i, (c, t) in enumerate(maps.items()))
-    kept = " AND ".join(f"(m{i}.nv IS NOT NULL OR s.{quoted(c)} IS NULL OR value_normalize(cast(s.{quoted(c)} as string)) = '')" for i, c in enumerate(maps))
-    return f"SELECT {shown} FROM {quoted(source)} s {joins}" + ("" if unmapped_rows or not maps else f" WHERE {kept}")
+    joins = " ".join(f"LEFT JOIN (SELECT nv, max(alias_name) AS alias_name FROM {quoted(t)} GROUP BY nv) m{i} ON m{i}.nv = s._key{i}" for i, t in enumerate(maps.values()))
+    kept = " AND ".join(f"(m{i}.nv IS NOT NULL OR coalesce(s._key{i}, '') = '')" for i in range(len(maps)))
+    return f"SELECT {shown} FROM {rows} s {joins}" + ("" if unmapped_rows or not maps else f" WHERE {kept}")

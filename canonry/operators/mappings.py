@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import normalize, not_blank, value_dictionary
+from ..functions.normalize import normalize, not_blank
 from ..functions.text import first_word
 
 TOP_NAMES, SIMILAR_NAMES, SIMILAR_WORDS, PAGE_LIMIT = 200, 100, 300, 500
-#: Rows up to which a dictionary is broadcast; beyond, Spark chooses.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a dictionary is broadcast; beyond, Spark chooses.
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked to be broadcast if its rows take so few bytes: strings by their lengths, other values as eight."""
+    width = sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) + 8 if kind == "string" else F.lit(8) for c, kind in df.dtypes), F.lit(16))
+    size = df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("bytes")).first()["bytes"]
+    return F.broadcast(df) if size <= most else df
+
+
+def dictionary(mapping: DataFrame) -> DataFrame:
+    """nv, alias_name: one row for each key, the last name of several, so that joins never multiply rows."""
+    return mapping.where(not_blank(F.col("nv"))).groupBy("nv").agg(F.max("alias_name").alias("alias_name"))
 
 
 def in_scope(spec_id: int | None) -> Column:
@@ -28,19 +36,14 @@ def lookup(matches: DataFrame, names: DataFrame, spec_id: int | None) -> DataFra
     return own.join(names.select("alias_id", "alias_name"), "alias_id").groupBy("nv").agg(F.max("alias_name").alias("alias_name"))
 
 
-def raw_lookup(source: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    """raw, alias: the spellings in a source that the mapping knows. Keys are worked out on distinct spellings alone."""
-    return value_dictionary(source, column).join(mapping, "nv").select("raw", F.col("alias_name").alias("alias"))
-
-
 def lookup_pass(items: DataFrame, mapping: DataFrame) -> DataFrame:
     """items (with nv) and alias_name where the mapping has it, matched_from_lookup."""
-    return items.join(mapping, "nv", "left").withColumn("matched_from_lookup", F.col("alias_name").isNotNull())
+    return items.join(dictionary(mapping), "nv", "left").withColumn("matched_from_lookup", F.col("alias_name").isNotNull())
 
 
 def column_metrics(values: DataFrame, mapping: DataFrame) -> DataFrame:
     """total_source_values and total_mapped in rows, from distinct values with frequencies."""
-    joined = values.join(mapping.select("nv", F.lit(1).alias("hit")), "nv", "left")
+    joined = values.join(dictionary(mapping).select("nv", F.lit(1).alias("hit")), "nv", "left")
     return joined.agg(F.coalesce(F.sum("source_frequency"), F.lit(0)).alias("total_source_values"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("source_frequency"))), F.lit(0)).alias("total_mapped"))
 
 
@@ -142,9 +145,12 @@ def seed_rows(literals: DataFrame, matches: DataFrame, spec_id: int | None) -> D
 
 
 def repoint(matches: DataFrame, names: DataFrame, spec_id: int | None, key: str, to_alias: int) -> tuple[DataFrame, DataFrame]:
-    """One mapping moved to another name; the old name's usage falls, and it goes if nothing points to it."""
+    """One mapping moved to another name; the old name's usage falls, and it goes if nothing points to it. A key that the
+    scope doesn't know, or that has the name already, changes nothing."""
     mine = in_scope(spec_id) & (F.col("normalized_value") == key)
-    old = [r["alias_id"] for r in matches.where(mine).select("alias_id").distinct().collect()]
+    old = [r["alias_id"] for r in matches.where(mine).select("alias_id").distinct().collect() if r["alias_id"] != to_alias]
+    if not old:
+        return matches, names
     moved = matches.withColumn("alias_id", F.when(mine, F.lit(to_alias).cast("long")).otherwise(F.col("alias_id")))
     fewer = F.when(F.col("alias_id").isin(old), F.greatest(F.col("usage_count") - 1, F.lit(0))).when(F.col("alias_id") == to_alias, F.col("usage_count") + 1).otherwise(F.col("usage_count"))
     used = moved.select(F.col("alias_id").alias("_used")).distinct()

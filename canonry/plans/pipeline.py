@@ -182,10 +182,13 @@ class Engine:
         queue = self.store.read("queue")
         own = queue.where(F.col("pipeline_id") == pipeline.pipeline_id)
         found = detect.queue_rows(detect.reconcile(self.source(pipeline.table), pipeline.column, self.mapping(pipeline), own), pipeline.pipeline_id, self.now())
-        found = found.cache()
-        new = found.count()
-        if new:
-            self.save("queue", detect.merge_queue(queue, found, add=False))
+        found = found.persist()
+        try:
+            new = found.count()
+            if new:
+                self.save("queue", detect.merge_queue(queue, found, add=False))
+        finally:
+            found.unpersist()
         pipeline.queue_size = self.store.read("queue").where(F.col("pipeline_id") == pipeline.pipeline_id).count()
         self.tell("metrics", pipeline_id=pipeline.pipeline_id, queue_size=pipeline.queue_size)
         return new
@@ -218,8 +221,8 @@ class Engine:
         if pipeline.pipeline_id in self.busy:
             return 0
         self.busy.add(pipeline.pipeline_id)
+        rows = detect.drain(self.store.read("queue"), pipeline.pipeline_id, limit).select(F.col("normalized_value").alias("nv"), "literal_value", "source_frequency").persist()
         try:
-            rows = detect.drain(self.store.read("queue"), pipeline.pipeline_id, limit).select(F.col("normalized_value").alias("nv"), "literal_value", "source_frequency").cache()
             size = rows.count()
             if not size:
                 return 0
@@ -240,6 +243,7 @@ class Engine:
                 self.pause(pipeline, "failures", str(e)[:500])
             raise
         finally:
+            rows.unpersist()
             self.busy.discard(pipeline.pipeline_id)
 
     def tick(self) -> dict[int, int]:

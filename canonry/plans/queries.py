@@ -49,8 +49,8 @@ N = normalize.sql
 
 @query(f"SELECT doc_id, {N('text')} AS nv, ({N('text')} = '') AS is_blank FROM documents")
 def normalize_documents(spark, sf_dir):
-    df = read(spark, sf_dir, "documents").select("doc_id", normalize.normalize(F.col("text")).alias("nv"))
-    return df.withColumn("is_blank", F.col("nv") == "")
+    df = normalize.with_keys(read(spark, sf_dir, "documents").select("doc_id", "text"), {"text": "nv"})
+    return df.select("doc_id", "nv", (F.col("nv") == "").alias("is_blank"))
 
 
 DISTINCT = """SELECT nv, literal_value, source_frequency FROM (
@@ -227,24 +227,24 @@ def deletes_detected(spark, sf_dir):
     return detect.deleted_rows(old, old.where("o_orderkey % 10 <> 3"))
 
 
-@query("SELECT c.op, c.o_orderkey, o.o_orderpriority FROM (SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'D' ELSE 'I' END AS op, o_orderkey FROM orders WHERE o_orderkey % 2 = 0) c LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 4 <> 0) o USING (o_orderkey)")
+@query("SELECT c.op, c.o_orderkey, o.o_orderpriority FROM (SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'D' ELSE 'I' END AS op, o_orderkey FROM orders) c LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 4 <> 0) o USING (o_orderkey)")
 def live_changes(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    changes = orders.where("o_orderkey % 2 = 0").select(F.when(F.col("o_orderkey") % 4 == 0, "D").otherwise("I").alias("op"), "o_orderkey")
+    changes = orders.select(F.when(F.col("o_orderkey") % 4 == 0, "D").otherwise("I").alias("op"), "o_orderkey")
     return detect.live_changes(changes, orders.where("o_orderkey % 4 <> 0"), ["o_orderkey"])
 
 
-LITERALS = [("ECONOMY", 1, 7, 1), ("Small", 2, 7, 2), ("PROMO", 3, 7, 3), ("gone", 1, 7, 4), ("ECONOMY", 4, None, 5)]
-NAMES = [(1, "Economy", 7, 2), (2, "Small", 7, 1), (3, "Promo", 7, 1), (4, "Cheap", None, 1)]
-STORED = """matches(match_id, literal_value, normalized_value, alias_id, spec_id) AS (VALUES (1, 'ECONOMY', 'economy', 1, 7), (2, 'Small', 'small', 2, 7), (3, 'PROMO', 'promo', 3, 7), (4, 'gone', 'gone', 1, 7), (5, 'ECONOMY', 'economy', 4, NULL)),
-names(alias_id, alias_name, spec_id, usage_count) AS (VALUES (1, 'Economy', 7, 2), (2, 'Small', 7, 1), (3, 'Promo', 7, 1), (4, 'Cheap', NULL, 1))"""
+#: Mappings as the tables hold them: customers' names under their nations, in scopes by market segment.
+STORED = """matches AS (SELECT CAST(c_custkey AS BIGINT) AS match_id, c_name AS literal_value, lower(c_name) AS normalized_value, CAST(c_nationkey AS BIGINT) AS alias_id,
+  CAST(CASE c_mktsegment WHEN 'BUILDING' THEN 7 WHEN 'MACHINERY' THEN NULL ELSE 8 END AS BIGINT) AS spec_id FROM customer),
+names AS (SELECT CAST(n_nationkey AS BIGINT) AS alias_id, n_name AS alias_name, CAST(7 AS BIGINT) AS spec_id, CAST(n_regionkey + 1 AS BIGINT) AS usage_count FROM nation)"""
 
 
-def stored(spark) -> tuple[DataFrame, DataFrame]:
-    at = F.lit("2024-01-01").cast("timestamp")
-    rows = [(i, x, x.lower(), a, s, 1) for x, a, s, i in LITERALS]
-    matches = spark.createDataFrame(rows, "match_id long, literal_value string, normalized_value string, alias_id long, spec_id long, run_id long").withColumn("confirmed_at", at)
-    names = spark.createDataFrame(NAMES, "alias_id long, alias_name string, spec_id long, usage_count long").withColumn("last_used_at", at)
+def stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    at, long = F.lit("2024-01-01").cast("timestamp"), lambda c: F.col(c).cast("long")
+    scope = F.when(F.col("c_mktsegment") == "BUILDING", 7).when(F.col("c_mktsegment") == "MACHINERY", None).otherwise(8).cast("long")
+    matches = read(spark, sf_dir, "customer").select(long("c_custkey").alias("match_id"), F.col("c_name").alias("literal_value"), F.lower("c_name").alias("normalized_value"), long("c_nationkey").alias("alias_id"), scope.alias("spec_id"), F.lit(1).cast("long").alias("run_id"), at.alias("confirmed_at"))
+    names = read(spark, sf_dir, "nation").select(long("n_nationkey").alias("alias_id"), F.col("n_name").alias("alias_name"), F.lit(7).cast("long").alias("spec_id"), (long("n_regionkey") + 1).alias("usage_count"), at.alias("last_used_at"))
     return matches, names
 
 
@@ -253,56 +253,83 @@ MAPPED = f"WITH {STORED} SELECT {{}} FROM matches JOIN names USING (alias_id) WH
 
 @query(MAPPED.format("alias_name AS canonical_name, literal_value AS raw_value, CAST('2024-01-01' AS TIMESTAMP) AS confirmed_at"))
 def lookup_export(spark, sf_dir):
-    return mappings.lookup_export(mappings.mapping_rows(*stored(spark), 7))
+    return mappings.lookup_export(mappings.mapping_rows(*stored(spark, sf_dir), 7))
 
 
 @query(MAPPED.format("literal_value AS original_value, alias_name AS standardized_value"))
 def run_mapping(spark, sf_dir):
-    return mappings.run_mapping(mappings.mapping_rows(*stored(spark), 7))
+    return mappings.run_mapping(mappings.mapping_rows(*stored(spark, sf_dir), 7))
 
 
 @query(f"WITH {STORED} SELECT literal_value, alias_name FROM matches JOIN names USING (alias_id) WHERE matches.spec_id IS NULL")
 def lookup_null_scope(spark, sf_dir):
-    return mappings.mapping_rows(*stored(spark), None).select("literal_value", "alias_name")
+    return mappings.mapping_rows(*stored(spark, sf_dir), None).select("literal_value", "alias_name")
 
 
-@query(MAPPED.format("literal_value, alias_name") + " AND (contains(lower(literal_value), 'o') OR contains(lower(alias_name), 'o'))")
+@query(MAPPED.format("literal_value, alias_name") + " AND (contains(lower(literal_value), '7') OR contains(lower(alias_name), '7'))")
 def mappings_search(spark, sf_dir):
-    return mappings.search(mappings.mapping_rows(*stored(spark), 7), "O").select("literal_value", "alias_name")
+    return mappings.search(mappings.mapping_rows(*stored(spark, sf_dir), 7), "7").select("literal_value", "alias_name")
 
 
-@query(f"WITH {STORED} SELECT literal_value, spec_id::BIGINT AS spec_id FROM matches WHERE normalized_value IN (SELECT lower(p_type) FROM part)")
+@query(f"WITH {STORED} SELECT literal_value, spec_id FROM matches WHERE normalized_value IN (SELECT lower(c_name) FROM orders JOIN customer ON o_custkey = c_custkey)")
 def mappings_in_column(spark, sf_dir):
-    return mappings.in_column(stored(spark)[0], tables.distinct_values(read(spark, sf_dir, "part"), "p_type")).select("literal_value", "spec_id")
+    named = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_name")
+    return mappings.in_column(stored(spark, sf_dir)[0], tables.distinct_values(named, "c_name")).select("literal_value", "spec_id")
 
 
-@query(f"WITH {STORED}, m AS (SELECT normalized_value AS nv, max(alias_name) AS alias_name FROM matches JOIN names USING (alias_id) WHERE matches.spec_id = 7 GROUP BY 1) SELECT v.nv, v.literal_value, v.source_frequency, m.alias_name, (m.nv IS NOT NULL) AS matched_from_lookup FROM ({distinct_sql('part', 'p_type')}) v LEFT JOIN m ON m.nv = v.nv")
+@query(f"WITH {STORED}, m AS (SELECT normalized_value AS nv, max(alias_name) AS alias_name FROM matches JOIN names USING (alias_id) WHERE matches.spec_id = 7 GROUP BY 1) SELECT v.nv, v.literal_value, v.source_frequency, m.alias_name, (m.nv IS NOT NULL) AS matched_from_lookup FROM ({distinct_sql('customer', 'c_name')}) v LEFT JOIN m ON m.nv = v.nv")
 def lookup_pass(spark, sf_dir):
-    matches, names = stored(spark)
-    return mappings.lookup_pass(tables.distinct_values(read(spark, sf_dir, "part"), "p_type"), mappings.lookup(matches, names, 7))
+    return mappings.lookup_pass(tables.distinct_values(read(spark, sf_dir, "customer"), "c_name"), mappings.lookup(*stored(spark, sf_dir), 7))
 
 
 @query(MAPPED.format("alias_name, array_to_string(list_sort(list(DISTINCT literal_value)), '|') AS literals, count(*) AS n") + " GROUP BY alias_name")
 def mappings_by_name(spark, sf_dir):
-    return mappings.by_name(mappings.mapping_rows(*stored(spark), 7)).withColumn("literals", F.array_join("literals", "|"))
+    return mappings.by_name(mappings.mapping_rows(*stored(spark, sf_dir), 7)).withColumn("literals", F.array_join("literals", "|"))
 
 
-@query(f"WITH {STORED} SELECT alias_id::BIGINT AS alias_id, alias_name, spec_id::BIGINT AS spec_id, (usage_count + (alias_id = 1)::INT)::BIGINT AS usage_count FROM names UNION ALL VALUES (5, 'Fresh', 7, 1), (6, 'Newer', 7, 1)")
+@query(f"""WITH {STORED} SELECT alias_id, alias_name, spec_id, CAST(usage_count + CASE WHEN alias_name IN (SELECT n_name FROM nation WHERE n_regionkey = 1) THEN 1 ELSE 0 END AS BIGINT) AS usage_count FROM names
+UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY 'region ' || r_name), 'region ' || r_name, 7, 1 FROM region""")
 def alias_upsert(spark, sf_dir):
-    proposed = spark.createDataFrame([("Economy", 7), ("Fresh", 7), ("Newer", 7), ("Fresh", 7)], "alias_name string, spec_id long")
-    return mappings.upsert_names(stored(spark)[1], proposed, F.lit("2024-02-01").cast("timestamp"), 4).drop("last_used_at")
+    names = stored(spark, sf_dir)[1]
+    fresh = read(spark, sf_dir, "region").select(F.concat(F.lit("region "), "r_name").alias("alias_name"))
+    proposed = fresh.union(fresh).union(read(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_name")).withColumn("spec_id", F.lit(7).cast("long"))
+    return mappings.upsert_names(names, proposed, F.lit("2024-02-01").cast("timestamp"), names.agg(F.max("alias_id")).first()[0]).drop("last_used_at")
 
 
-@query(f"WITH {STORED} SELECT match_id::BIGINT AS match_id, literal_value, normalized_value, CASE WHEN match_id = 1 THEN 3 ELSE alias_id END::BIGINT AS alias_id, spec_id::BIGINT AS spec_id FROM matches UNION ALL VALUES (6, 'Medium', 'medium', 2, 7)")
+@query(f"""WITH {STORED} SELECT match_id, literal_value, normalized_value, CASE WHEN spec_id = 7 AND match_id % 10 = 0 THEN 3 ELSE alias_id END AS alias_id, spec_id FROM matches
+UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY lower(s_name)), s_name, lower(s_name), 2, 7 FROM supplier""")
 def match_upsert(spark, sf_dir):
-    decided = spark.createDataFrame([("economy", 3, 7, 1), ("Medium", 2, 7, 2), ("MEDIUM", 1, 7, 3), ("  ", 1, 7, 4)], "literal_value string, alias_id long, spec_id long, seq int")
-    return mappings.upsert_matches(stored(spark)[0], decided, F.lit("2024-02-01").cast("timestamp"), 2, 5).drop("run_id", "confirmed_at")
+    matches, seven = stored(spark, sf_dir)[0], F.lit(7).cast("long").alias("spec_id")
+    known = matches.where("spec_id = 7 and match_id % 10 = 0").select(F.upper("literal_value").alias("literal_value"), F.lit(3).cast("long").alias("alias_id"), seven, F.lit(1).alias("seq"))
+    supplier = read(spark, sf_dir, "supplier")
+    new = [supplier.select(text.alias("literal_value"), F.lit(alias).cast("long").alias("alias_id"), seven, F.lit(seq).alias("seq")) for text, alias, seq in ((F.col("s_name"), 2, 1), (F.upper("s_name"), 1, 2), (F.lit("  "), 1, 3))]
+    decided = known.union(new[0]).union(new[1]).union(new[2])
+    return mappings.upsert_matches(matches, decided, F.lit("2024-02-01").cast("timestamp"), 2, matches.agg(F.max("match_id")).first()[0]).drop("run_id", "confirmed_at")
 
 
-@query(f"WITH {STORED} SELECT literal_value, CASE alias_id WHEN 2 THEN 1 ELSE alias_id END::BIGINT AS alias_id FROM matches")
+@query(f"WITH {STORED} SELECT literal_value, spec_id, CASE alias_id WHEN 2 THEN 1 ELSE alias_id END AS alias_id FROM matches")
 def alias_merge(spark, sf_dir):
-    matches, names = stored(spark)
-    return mappings.rename(matches, names, 7, 2, "Economy")[0].select("literal_value", "alias_id")
+    matches, names = stored(spark, sf_dir)
+    first = names.where("alias_id = 1").first()["alias_name"]
+    return mappings.rename(matches, names, 7, 2, first)[0].select("literal_value", "spec_id", "alias_id")
+
+
+@query(f"""WITH {STORED}, moved AS (SELECT normalized_value AS key, alias_id AS old FROM matches WHERE spec_id = 7 AND alias_id <> 1 ORDER BY match_id LIMIT 1),
+after AS (SELECT CASE WHEN spec_id = 7 AND normalized_value = key THEN 1 ELSE alias_id END AS alias_id FROM matches, moved)
+SELECT alias_id, alias_name, CAST(CASE WHEN alias_id = old THEN greatest(usage_count - 1, 0) WHEN alias_id = 1 THEN usage_count + 1 ELSE usage_count END AS BIGINT) AS usage_count
+FROM names, moved WHERE alias_id <> old OR alias_id IN (SELECT alias_id FROM after)""")
+def repoint_moves(spark, sf_dir):
+    matches, names = stored(spark, sf_dir)
+    key = matches.where("spec_id = 7 and alias_id <> 1").orderBy("match_id").first()["normalized_value"]
+    return mappings.repoint(matches, names, 7, key, 1)[1].select("alias_id", "alias_name", "usage_count")
+
+
+@query(f"WITH {STORED} SELECT alias_id, alias_name, usage_count FROM names")
+def repoint_same_name(spark, sf_dir):
+    matches, names = stored(spark, sf_dir)
+    one = matches.where("spec_id = 7").orderBy("match_id").first()
+    names = mappings.repoint(matches, names, 7, one["normalized_value"], one["alias_id"])[1]
+    return mappings.repoint(matches, names, 7, "no such key", 1)[1].select("alias_id", "alias_name", "usage_count")
 
 
 @query("SELECT p_name AS alias_name, count(*) AS usage_count FROM part GROUP BY 1 ORDER BY usage_count DESC, alias_name LIMIT 10")
@@ -400,9 +427,9 @@ def scoped_metadata_join(spark, sf_dir):
     return df.select(F.col("n_name").alias("nation"), F.coalesce("r_name", F.lit("none")).alias("spec"))
 
 
-@query("SELECT label, item, row_number() OVER (PARTITION BY label ORDER BY p_partkey) AS place FROM (SELECT p_type AS label, p_partkey AS item, p_partkey FROM part WHERE p_size > 40)")
+@query("SELECT label, item, row_number() OVER (PARTITION BY label ORDER BY p_partkey) AS place FROM (SELECT p_type AS label, p_partkey AS item, p_partkey FROM part)")
 def item_numbers(spark, sf_dir):
-    return grouping.numbered(read(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_type").alias("label"), F.col("p_partkey").alias("item")), "label", "item")
+    return grouping.numbered(read(spark, sf_dir, "part").select(F.col("p_type").alias("label"), F.col("p_partkey").alias("item")), "label", "item")
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
@@ -418,19 +445,21 @@ def group_confidence(spark, sf_dir):
 
 @query(f"WITH {STORED} SELECT alias_name, (SELECT count(*) FROM matches WHERE matches.alias_id = names.alias_id) AS mappings FROM names")
 def usage_counts(spark, sf_dir):
-    return mappings.usage_counts(*stored(spark)).select("alias_name", "mappings")
+    return mappings.usage_counts(*stored(spark, sf_dir)).select("alias_name", "mappings")
 
 
-@query(f"WITH {STORED} SELECT literal_value, CASE WHEN normalized_value = 'promo' AND spec_id = 7 THEN 2 ELSE alias_id END::BIGINT AS alias_id FROM matches WHERE NOT (normalized_value = 'gone' AND spec_id = 7)")
+@query(f"WITH {STORED} SELECT literal_value, spec_id, CASE WHEN spec_id = 7 AND match_id % 3 = 0 THEN 5 ELSE alias_id END AS alias_id FROM matches WHERE NOT (spec_id IS NOT DISTINCT FROM 7 AND match_id % 5 = 0)")
 def bulk_changes(spark, sf_dir):
-    moves = spark.createDataFrame([("promo", 2)], "nv string, alias_id long")
-    deletes = spark.createDataFrame([("gone",)], "nv string")
-    return mappings.bulk_changes(stored(spark)[0], 7, moves, deletes, F.lit("2024-02-01").cast("timestamp")).select("literal_value", "alias_id")
+    matches = stored(spark, sf_dir)[0]
+    own = matches.where("spec_id = 7")
+    moves = own.where("match_id % 3 = 0").select(F.col("normalized_value").alias("nv"), F.lit(5).cast("long").alias("alias_id"))
+    deletes = own.where("match_id % 5 = 0").select(F.col("normalized_value").alias("nv"))
+    return mappings.bulk_changes(matches, 7, moves, deletes, F.lit("2024-02-01").cast("timestamp")).select("literal_value", "spec_id", "alias_id")
 
 
 @query(f"WITH {STORED} SELECT alias_name, literal_value, count(*) AS n FROM matches JOIN names USING (alias_id) WHERE matches.spec_id = 7 GROUP BY 1, 2")
 def known_literals(spark, sf_dir):
-    return mappings.known_literals(mappings.mapping_rows(*stored(spark), 7))
+    return mappings.known_literals(mappings.mapping_rows(*stored(spark, sf_dir), 7))
 
 
 @query("SELECT n AS alias_name, c AS usage_count FROM (SELECT p_name AS n, count(*) AS c FROM part GROUP BY 1)")
@@ -439,6 +468,48 @@ def known_names(spark, sf_dir):
     return mappings.known_names(names, read(spark, sf_dir, "part").select(F.col("p_name").alias("literal_value")))
 
 
+@query("""WITH names AS (SELECT c_name AS alias_name, count(o_orderkey) AS usage_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+top AS (SELECT * FROM names ORDER BY usage_count DESC, alias_name LIMIT 200),
+words AS (SELECT DISTINCT lower(c_name) AS w FROM customer WHERE c_nationkey < 12 ORDER BY w LIMIT 300),
+rest AS (SELECT * FROM names WHERE alias_name NOT IN (SELECT alias_name FROM top) AND lower(alias_name) IN (SELECT w FROM words) ORDER BY usage_count DESC, alias_name LIMIT 100)
+SELECT * FROM top UNION ALL SELECT * FROM rest""")
+def known_names_beyond_the_top(spark, sf_dir):
+    customer = read(spark, sf_dir, "customer")
+    orders = customer.join(read(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    names = orders.groupBy(F.col("c_name").alias("alias_name")).agg(F.count("o_orderkey").alias("usage_count")).withColumn("last_used_at", F.lit(None).cast("timestamp"))
+    return mappings.known_names(names, customer.where("c_nationkey < 12").select(F.col("c_name").alias("literal_value")))
+
+
+@query(f"WITH {values(TYPES, 'm')} SELECT * FROM ({distinct_sql('customer', 'c_name')}) v ORDER BY source_frequency DESC, nv LIMIT 40")
+def reconcile_limited(spark, sf_dir):
+    return detect.reconcile(read(spark, sf_dir, "customer"), "c_name", mapping(spark, TYPES), queue_of(spark, ["PROMO"]), 40)
+
+
+@query(export_sql(False).replace("('1-urgent', 'Urgent')", "('1-urgent', 'Urgent'), ('1-urgent', 'Zz')").replace("AS (VALUES", "AS (SELECT k, max(a) FROM (VALUES", 1).replace("'Normal')) SELECT", "'Normal')) t(k, a) GROUP BY k) SELECT", 1))
+def export_duplicate_keys(spark, sf_dir):
+    twice = mapping(spark, PRIORITIES).union(mapping(spark, {"1-urgent": "Zz"}))
+    return export.standardize(read(spark, sf_dir, "orders"), {"o_orderpriority": twice})
+
+
+@query(f"WITH {values(EVENTS, 'm')} SELECT event_id, coalesce(m.alias_name, event_type) AS event_type, value FROM events LEFT JOIN m ON m.nv = {N('event_type')}")
+def file_rows(spark, sf_dir):
+    return export.file_rows(read(spark, sf_dir, "events").select("event_id", "event_type", "value"), {"event_type": mapping(spark, EVENTS)})
+
+
+@query("SELECT s_suppkey, 'The ' || s_name || ' & Co.' AS name, s_name || ' and Co' AS styled FROM supplier")
+def convention_articles_and_marks(spark, sf_dir):
+    name = F.concat(F.lit("The "), "s_name", F.lit(" & Co."))
+    df = read(spark, sf_dir, "supplier").select("s_suppkey", name.alias("name"))
+    rules = {"leading_articles": {"value": "strip"}, "ampersand": {"value": "spell_out"}, "trailing_punct": {"value": "strip"}}
+    return df.withColumn("styled", conventions.apply_rules_column(F.col("name"), rules))
+
+
+@query("SELECT DISTINCT p_brand, 'IBM ' || p_name AS name, 'IBM ' || array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS styled FROM part")
+def convention_acronyms(spark, sf_dir):
+    df = read(spark, sf_dir, "part").select("p_brand", F.concat(F.lit("IBM "), "p_name").alias("name")).distinct()
+    return df.withColumn("styled", conventions.apply_rules_column(F.col("name"), {"case": {"value": "title"}, "acronyms": {"value": "force_caps"}}))
+
+
 @query("SELECT event_id, event_type FROM events WHERE length(event_type) <= 5")
 def within_cap(spark, sf_dir):
     return detect.drop_overlong(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", 5)

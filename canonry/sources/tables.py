@@ -32,7 +32,7 @@ def distinct_keys(df: DataFrame, column: str, limit: int | None = None) -> DataF
 
 def diff_scan(df: DataFrame, column: str, limit: int = SCAN_LIMIT) -> tuple[DataFrame, bool]:
     """The most frequent spellings under their keys, and whether there are more than limit."""
-    top = raw_counts(df, column).orderBy(F.desc("n"), "raw").limit(limit + 1).cache()
+    top = raw_counts(df, column).orderBy(F.desc("n"), "raw").limit(limit + 1)
     truncated = top.count() > limit
     kept = top.orderBy(F.desc("n"), "raw").limit(limit).withColumn("nv", normalize(F.col("raw"))).where(not_blank(F.col("nv")))
     return kept.groupBy("nv").agg(F.min_by("raw", F.struct(-F.col("n"), "raw")).alias("literal_value"), F.sum("n").alias("source_frequency")), truncated

@@ -21,17 +21,16 @@ class QueueFeed:
 
     def apply(self, batch: DataFrame, batch_id: int) -> bool:
         """Queue the non-blank values that rows bring in, known ones too, adding frequencies. False: it was applied before."""
-        done = self.store.read("applied_batches")
-        if not done.where((F.col("pipeline_id") == self.pipeline_id) & (F.col("batch_id") >= batch_id)).isEmpty():
+        mark = f"batch.{self.pipeline_id}"
+        if int(self.store.marks("queue").get(mark, -1)) >= batch_id:
             return False
         batch = batch.persist()
         try:
             flags = detect.change_flags(batch, self.column).first().asDict()
             values = distinct_values(batch.where(F.col("op").isin("I", "U")), self.column)
             new = detect.queue_rows(values, self.pipeline_id, F.current_timestamp())
-            marks = self.store.spark.createDataFrame([(self.pipeline_id, batch_id)], "pipeline_id long, batch_id long")
-            self.store.publish("queue", detect.merge_queue(self.store.read("queue"), new, add=True))
-            self.store.publish("applied_batches", done.where(F.col("pipeline_id") != self.pipeline_id).unionByName(marks))
+            # the queue and its mark become visible in one step, so a batch counts once whatever fails
+            self.store.publish("queue", detect.merge_queue(self.store.read("queue"), new, add=True), {mark: str(batch_id)})
         finally:
             batch.unpersist()
         if self.on_flags:

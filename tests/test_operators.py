@@ -3,7 +3,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from canonry.functions.normalize import normalize_value
+from canonry.functions.normalize import normalize_value, with_keys
 from canonry.operators import detect, export, grouping, mappings
 from canonry.operators.onetime import OneTime
 from canonry.operators.store import Conflict, Store
@@ -64,6 +64,18 @@ def test_companion(source, mapping):
         export.companion_columns(synced, {"carrier": mapping})
 
 
+def test_keys_that_need_composing(spark):
+    """Rows that Python never sees and those that it does get the same keys as values one by one; keys that a mapping has
+    twice don't multiply rows."""
+    values = ["Caf\u00e9", "Cafe\u0301", "  \u00c4B\tc ", "\u03a3igma", "\u2003x\u2003", None, "", "\u212b", "plain"]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v string")
+    got = {r["id"]: r["k"] for r in with_keys(df, {"v": "k"}).collect()}
+    assert got == {i: None if v is None else normalize_value(v) for i, v in enumerate(values)}
+    twice = spark.createDataFrame([("caf\u00e9", "A"), ("caf\u00e9", "B"), ("plain", "P")], "nv string, alias_name string")
+    out = export.standardize(df, {"v": twice}, unmapped_rows=True)
+    assert out.count() == len(values) and {r["v"] for r in out.where("id < 2").collect()} == {"B"}
+
+
 def test_export_guards_and_layout(spark, source):
     with pytest.raises(ValueError):
         export.guard("a.t", "A.T")
@@ -109,6 +121,9 @@ def test_mapping_writes(spark):
     matches = spark.createDataFrame([(1, "a", "a", 1, 7, 1), (2, "b", "b", 2, 7, 1), (3, "aa", "aa", 1, 7, 1)], "match_id long, literal_value string, normalized_value string, alias_id long, spec_id long, run_id long").withColumn("confirmed_at", at)
     moved, left = mappings.repoint(matches, names, 7, "b", 1)
     assert {r["alias_name"]: r["usage_count"] for r in left.collect()} == {"A": 3} and moved.where("alias_id = 1").count() == 3
+    for key, to in (("b", 2), ("zz", 1)):  # it has that name already; nobody knows it
+        moved, left = mappings.repoint(matches, names, 7, key, to)
+        assert {r["alias_name"]: r["usage_count"] for r in left.collect()} == {"A": 2, "B": 1} and moved.where("alias_id = 1").count() == 2
     merged, kept = mappings.rename(matches, names, 7, 2, "A")
     assert kept.count() == 1 and merged.where("alias_id = 1").count() == 3
     renamed, kept = mappings.rename(matches, names, 7, 2, "C")
