@@ -44,6 +44,20 @@ def rebuild_needed(flags: dict, unmapped_rows: bool, kind: str) -> bool:
     return bool(flags["deletes"] or flags["blank_inserts"] or (unmapped_rows and kind == "table" and flags["inserts"]))
 
 
+def choose_mode(keys: list[str], feed: bool, readable: bool) -> tuple[str, str | None]:
+    """How a source is watched: "stream" with keys and a change feed that can be read, else "diff" and why."""
+    reason = next((why for ok, why in ((keys, "no key columns"), (feed, "no change feed"), (readable, "the change feed can't be read")) if not ok), None)
+    return ("diff", reason) if reason else ("stream", None)
+
+
+def after_gap(seen: int | None, oldest: int, newest: int, recreated: bool = False) -> str:
+    """What to do with a feed's position: "read" what is new, "wait" if nothing is, or "reconcile" the whole source and begin
+    at newest, as changes may be lost: none was seen yet, the table was made anew, the position has gone, or it lies ahead."""
+    if seen is None or recreated or seen < oldest - 1 or seen > newest:
+        return "reconcile"
+    return "read" if seen < newest else "wait"
+
+
 def queue_rows(values: DataFrame, pipeline_id: int, now: Column) -> DataFrame:
     """nv, literal_value, source_frequency as queue rows."""
     return values.select(F.lit(pipeline_id).cast("long").alias("pipeline_id"), "literal_value", F.col("nv").alias("normalized_value"), F.col("source_frequency").cast("long").alias("source_frequency"), now.alias("detected_at"))

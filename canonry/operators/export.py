@@ -61,6 +61,20 @@ def companion_delta(synced: DataFrame, mappings: dict[str, DataFrame]) -> DataFr
     return fresh.where(changed)
 
 
+def sync_companions(store, table: str, mappings: dict[str, DataFrame]) -> int:
+    """Brings a stored table's companion columns up to date in place and returns how many rows that changed: columns that
+    are missing are added; rows whose value is mapped otherwise, or not any more, are rewritten. None to change: nothing is
+    written."""
+    have = store.read(table)
+    missing = [c for c in mappings if standardized_name(c).lower() not in {x.lower() for x in have.columns}]
+    synced = have.select("*", *[F.lit(None).cast("string").alias(standardized_name(c)) for c in missing])
+    changed = companion_delta(synced, mappings).count()
+    if changed or missing:
+        names = {standardized_name(c) for c in mappings}
+        store.publish(table, companion_columns(synced.select(*[F.col(f"`{c}`") for c in synced.columns if c not in names]), mappings))
+    return changed
+
+
 def pasted_table(source: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """The source with standardized_<column> right after the column; matched on the raw value, empty if unmapped.
     mapping: literal_value, alias_name."""

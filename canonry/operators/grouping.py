@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from datetime import datetime
 from typing import Protocol
 
 import pandas as pd
@@ -269,6 +270,7 @@ class Run:
     groups: list[Group] = field(default_factory=list)
     status: str = "created"
     rev: int = 0
+    changed_at: datetime | None = None
 
     def literals(self) -> dict[int, str]:
         return {i.id: i.literal for i in self.items}

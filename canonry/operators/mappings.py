@@ -169,6 +169,30 @@ def rename(matches: DataFrame, names: DataFrame, spec_id: int | None, alias_id:
     return moved, names.where(F.col("alias_id") != alias_id).withColumn("usage_count", (F.col("usage_count") + F.when(F.col("alias_id") == target, added).otherwise(0)).cast("long"))
 
 
+def rename_everywhere(matches: DataFrame, names: DataFrame, old_name: str, new_name: str) -> tuple[DataFrame, DataFrame]:
+    """rename in every scope that has the old name. Where a scope has the new one too, usage counts are added up."""
+    old = names.where(F.col("alias_name") == old_name).groupBy(F.col("spec_id").alias("_spec")).agg(F.min("alias_id").alias("_old"), F.sum("usage_count").alias("_used"))
+    new = names.where(F.col("alias_name") == new_name).groupBy("spec_id").agg(F.min("alias_id").alias("_new"))
+    pairs = old.join(new, old["_spec"].eqNullSafe(new["spec_id"]), "left").select("_old", "_new", "_used")
+    if old_name == new_name or pairs.isEmpty():
+        return matches, names
+    moved = matches.join(small(pairs.where("_new is not null").drop("_used")), F.col("alias_id") == F.col("_old"), "left")
+    moved = moved.withColumn("alias_id", F.coalesce("_new", "alias_id")).select(*matches.columns)
+    gone = names.join(small(pairs), F.col("alias_id") == F.col("_old"), "left").where(F.col("_old").isNull() | F.col("_new").isNull())
+    gone = gone.withColumn("alias_name", F.when(F.col("_old").isNotNull(), F.lit(new_name)).otherwise(F.col("alias_name"))).select(*names.columns)
+    added = pairs.where("_new is not null").groupBy(F.col("_new").alias("_to")).agg(F.sum("_used").alias("_more"))
+    kept = gone.join(small(added), F.col("alias_id") == F.col("_to"), "left").withColumn("usage_count", (F.col("usage_count") + F.coalesce("_more", F.lit(0))).cast("long"))
+    return moved, kept.select(*names.columns)
+
+
+def with_metadata(rows: DataFrame, meta: DataFrame, on: dict[str, str], columns: dict[str, str]) -> DataFrame:
+    """rows with columns of their metadata (new names by old), matched null-safely on row: metadata columns; rows without
+    stay, and of metadata rows with the same key one counts."""
+    one = meta.groupBy(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(on.values())]).agg(F.max(F.struct(*columns)).alias("_meta"))
+    same = [F.col(c).eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(on)]
+    return rows.join(small(one.select("*", *[F.col(f"_meta.{c}").alias(new) for c, new in columns.items()]).drop("_meta")), same, "left").select(*rows.columns, *columns.values())
+
+
 def remove(matches: DataFrame, spec_id: int | None, keys: DataFrame) -> DataFrame:
     """matches without a scope's keys (nv)."""
     gone = keys.select(F.col("nv").alias("_nv")).distinct()

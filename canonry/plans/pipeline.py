@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import threading
 from collections import defaultdict
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
@@ -16,10 +17,12 @@ from ..functions.normalize import normalize_value
 from ..functions.schedule import DEFAULT, PAUSE_AFTER, Schedule, backoff_minutes
 from ..functions.text import classify_error
 from ..operators import detect, export, mappings
-from ..operators.grouping import Grouper, Run, auto_group, items_of
+from ..operators.grouping import Group, Grouper, Item, Run, auto_group, items_of
 from ..operators.store import Store
 from ..sources.tables import RUN_LIMIT, distinct_values
 
+#: After so long, a run that waits for validation or failed is gone on with.
+STALE = timedelta(minutes=30)
 BLOCKED = ("source_missing", "source_unreadable", "permission")
 
 
@@ -123,8 +126,37 @@ class Engine:
         rows = decided.join(ids, "alias_name").select("literal_value", "alias_id", "spec_id", "seq")
         self.save("literal_matches", mappings.upsert_matches(self.store.read("literal_matches"), rows, self.now(), run_id, self.store.next_id("literal_matches", "match_id")))
 
+    def save_state(self) -> None:
+        """Pipelines and runs as tables, each swapped in whole."""
+        plain = lambda x: json.dumps(asdict(x), default=lambda v: v.isoformat())
+        self.store.keep("pipelines", {i: (0, plain(p)) for i, p in self.pipelines.items()})
+        self.store.keep("runs", {i: (rev, plain(run)) for i, (rev, run) in self.store.documents.items()})
+
+    def load_state(self) -> None:
+        """What save_state kept, after a restart."""
+        at = lambda v: datetime.fromisoformat(v) if v else None
+        times = ("retry_at", "last_polled_at", "synced_at", "created_at")
+        for i, (_, text) in self.store.kept("pipelines").items():
+            d = json.loads(text)
+            schedule = Schedule(**d["schedule"] | {"days": tuple(d["schedule"]["days"])})
+            self.pipelines[i] = Pipeline(**d | {"schedule": schedule} | {t: at(d[t]) for t in times})
+        for i, (rev, text) in self.store.kept("runs").items():
+            d = json.loads(text)
+            run = d | {"items": [Item(**x) for x in d["items"]], "groups": [Group(**g | {"items": tuple(g["items"])}) for g in d["groups"]], "changed_at": at(d["changed_at"])}
+            self.store.documents[i] = (rev, Run(**run))
+
     # first run
 
+    def open_run(self, pipeline: Pipeline, limit: int = RUN_LIMIT) -> Run:
+        """The pipeline's run over its queue: one that was created or runs is gone on with, so is one that has been in
+        validation or failed for longer than STALE; else a new one is made."""
+        for _, run in self.store.documents.values():
+            stale = run.changed_at is not None and self.clock() - run.changed_at > STALE
+            if run.spec_id == pipeline.spec_id and (run.status in ("created", "running") or (run.status in ("validating", "failed") and stale)):
+                return run
+        rows = detect.drain(self.store.read("queue"), pipeline.pipeline_id, limit).select(F.col("normalized_value").alias("nv"), "literal_value", "source_frequency")
+        return self.grouped(pipeline, rows)
+
     def initial_run(self, pipeline: Pipeline, limit: int = RUN_LIMIT) -> Run:
         values = distinct_values(self.source(pipeline.table), pipeline.column, limit)
         return self.grouped(pipeline, values)
@@ -134,7 +166,7 @@ class Engine:
         items = items_of(((r["literal_value"], r["source_frequency"]) for r in values.orderBy(F.desc("source_frequency"), "nv").collect()), known)
         names = [r["alias_name"] for r in mappings.known_names(self.store.read("approved_names").where(mappings.in_scope(pipeline.spec_id)), values).collect()]
         run_id = max(self.store.documents, default=0) + 1
-        run = auto_group(self.spark, Run(run_id, pipeline.spec_id, items), self.grouper, names, pipeline.spec.get("convention_rules"))
+        run = auto_group(self.spark, Run(run_id, pipeline.spec_id, items, changed_at=self.clock()), self.grouper, names, pipeline.spec.get("convention_rules"))
         self.store.save_document(run_id, run, 0)
         return run
 
@@ -178,6 +210,29 @@ class Engine:
             pipeline.synced_at = self.clock()
         return new
 
+    def poll_changes(self, pipeline: Pipeline, changes: DataFrame) -> int:
+        """Queue the unknown values that rows of a change feed (op, column) bring in, adding frequencies, and rebuild the
+        export if they call for it; the source isn't scanned for values. Returns how many unknown values came."""
+        if pipeline.status != "active":
+            return 0
+        fresh = detect.classify(changes, pipeline.column, self.mapping(pipeline)).where("not known").withColumnRenamed("new_rows", "source_frequency")
+        fresh = detect.queue_rows(fresh, pipeline.pipeline_id, self.now()).persist()
+        try:
+            new = fresh.count()
+            if new:
+                self.save("queue", detect.merge_queue(self.store.read("queue"), fresh, add=True))
+        finally:
+            fresh.unpersist()
+        flags = detect.change_flags(changes, pipeline.column).first().asDict()
+        if detect.rebuild_needed(flags, pipeline.unmapped_rows, pipeline.export_kind) or (flags["inserts"] and not new):
+            self.refresh(pipeline)
+        pipeline.queue_size = self.store.read("queue").where(F.col("pipeline_id") == pipeline.pipeline_id).count()
+        pipeline.last_polled_at = self.clock()
+        if not pipeline.queue_size:
+            pipeline.synced_at = self.clock()
+        self.tell("metrics", pipeline_id=pipeline.pipeline_id, queue_size=pipeline.queue_size)
+        return new
+
     def reconcile(self, pipeline: Pipeline) -> int:
         queue = self.store.read("queue")
         own = queue.where(F.col("pipeline_id") == pipeline.pipeline_id)

@@ -423,8 +423,15 @@ def confidence_bands(spark, sf_dir):
 @query("SELECT nation, coalesce(spec, 'none') AS spec FROM (SELECT n_name AS nation, r_name AS spec FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey <> 0)")
 def scoped_metadata_join(spark, sf_dir):
     regions = read(spark, sf_dir, "region").where("r_regionkey <> 0")
-    df = read(spark, sf_dir, "nation").join(regions, F.col("n_regionkey").eqNullSafe(F.col("r_regionkey")), "left")
-    return df.select(F.col("n_name").alias("nation"), F.coalesce("r_name", F.lit("none")).alias("spec"))
+    df = mappings.with_metadata(read(spark, sf_dir, "nation"), regions, {"n_regionkey": "r_regionkey"}, {"r_name": "spec"})
+    return df.select(F.col("n_name").alias("nation"), F.coalesce("spec", F.lit("none")).alias("spec"))
+
+
+@query(f"WITH {STORED} SELECT alias_name, sum(usage_count)::BIGINT AS usage_count FROM (SELECT CASE alias_name WHEN (SELECT n_name FROM nation WHERE n_nationkey = 2) THEN (SELECT n_name FROM nation WHERE n_nationkey = 3) ELSE alias_name END AS alias_name, usage_count FROM names) GROUP BY 1")
+def rename_everywhere(spark, sf_dir):
+    matches, names = stored(spark, sf_dir)
+    two, three = (names.where(f"alias_id = {i}").first()["alias_name"] for i in (2, 3))
+    return mappings.rename_everywhere(matches, names, two, three)[1].select("alias_name", "usage_count")
 
 
 @query("SELECT label, item, row_number() OVER (PARTITION BY label ORDER BY p_partkey) AS place FROM (SELECT p_type AS label, p_partkey AS item, p_partkey FROM part)")

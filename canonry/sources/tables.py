@@ -90,3 +90,20 @@ def run_states(runs: DataFrame, ids: list[int]) -> DataFrame:
 
 def peek(df: DataFrame, limit: int = PREVIEW_LIMIT) -> DataFrame:
     return df.limit(limit)
+
+
+def described(rows: DataFrame) -> list[dict]:
+    """columns() from the rows of a DESCRIBE statement (col_name, data_type), up to the first that isn't a column."""
+    from itertools import takewhile
+
+    own = takewhile(lambda r: r["col_name"] and not r["col_name"].startswith("#"), rows.collect())  # a row for each column
+    text = ("string", "varchar", "char")
+    return [{"name": r["col_name"], "ordinal": i, "type": r["data_type"], "is_text": (t := r["data_type"].split("(")[0].lower() in text), "reason": None if t else "not a text column"} for i, r in enumerate(own, 1)]
+
+
+def key_columns(df: DataFrame, keys: list[str]) -> list[str]:
+    """Declared key columns, as the table spells them and in key order; a catalog here knows none by itself."""
+    named = {c.lower(): c for c in df.columns}
+    if missing := [k for k in keys if k.lower() not in named]:
+        raise ValueError(f"no such column: {', '.join(missing)}")
+    return [named[k.lower()] for k in keys]

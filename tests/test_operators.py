@@ -250,6 +250,51 @@ def test_pipeline(spark, store, source):
     assert engine.listing() == []
 
 
+def test_changes_state_and_open_runs(spark, store, source):
+    now = [datetime(2024, 1, 1, 10, tzinfo=timezone.utc)]
+    data = {"src": source}
+    engine = Engine(store, data.__getitem__, grouping.FoldingGrouper(), clock=lambda: now[0])
+    p = engine.create("src", "carrier", {"description": "carriers"}, export_name="out")
+    engine.commit(p, engine.initial_run(p))
+    changes = spark.createDataFrame([("I", "Orange"), ("I", "orange"), ("I", "att"), ("D", "zz")], "op string, carrier string")
+    assert engine.poll_changes(p, changes) == 1 and p.queue_size == 1
+    assert store.read("queue").first()["source_frequency"] == 2 and engine.poll_changes(p, changes.limit(0)) == 0
+    run = engine.open_run(p)
+    run.status = "validating"
+    assert [i.literal for i in run.items] == ["Orange"] and engine.open_run(p).run_id != run.run_id
+    for _, other in list(store.documents.values()):
+        other.status = "completed" if other is not run else other.status
+    now[0] = now[0].replace(minute=31)
+    assert engine.open_run(p) is run
+    engine.save_state()
+    store.documents.clear()
+    again = Engine(store, data.__getitem__, grouping.FoldingGrouper(), clock=lambda: now[0])
+    again.load_state()
+    assert again.pipelines == engine.pipelines and store.load_document(run.run_id)[1] == run
+    assert again.create("src", "city", {"description": "cities"}).pipeline_id == p.pipeline_id + 1
+
+
+def test_sync_companions_in_place(spark, store, source, mapping):
+    store.publish("t", source)
+    assert export.sync_companions(store, "t", {"carrier": mapping}) == 4
+    before = store.versions("t")
+    assert export.sync_companions(store, "t", {"carrier": mapping}) == 0 and store.versions("t") == before
+    assert export.sync_companions(store, "t", {"carrier": mapping.where("nv <> 'att'")}) == 1
+    assert store.read("t").columns == [*source.columns, "carrier_STANDARDIZED"] and store.read("t").count() == 7
+
+
+def test_modes_gaps_and_columns(spark, store, source):
+    assert detect.choose_mode(["id"], True, True) == ("stream", None) and detect.choose_mode([], True, True)[0] == "diff"
+    assert [detect.after_gap(*x) for x in ((None, 1, 5), (3, 1, 5), (5, 1, 5), (2, 9, 12), (8, 9, 12), (20, 9, 12))] == ["reconcile", "read", "wait", "reconcile", "read", "reconcile"]
+    assert detect.after_gap(3, 1, 5, recreated=True) == "reconcile"
+    store.publish("d", source)
+    got = tables.described(spark.sql(f"DESCRIBE {store.name('d')}"))
+    assert [(c["name"], c["is_text"]) for c in got] == [("id", False), ("carrier", True), ("city", True)]
+    assert tables.key_columns(source, ["CITY", "id"]) == ["city", "id"]
+    with pytest.raises(ValueError):
+        tables.key_columns(source, ["nope"])
+
+
 def test_backoff(spark, store, source):
     engine = Engine(store, lambda name: source, failing(), clock=lambda: datetime(2024, 1, 1, 10, tzinfo=timezone.utc))
     p = engine.create("src", "carrier", {"description": "x"})
