@@ -19,6 +19,8 @@ from . import common
 #: (verdict, rule); the longest that fits a url decides.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING, CHECKPOINT_EVERY = 0.85, 4
+#: Edges that a partition of the propagation holds: host graphs are small beside their pages, and each step is a shuffle.
+EDGES_IN_PART = 200_000
 #: Propagation ends when so many steps as lie between checkpoints move less mass than this, of 1 for each kind.
 TOLERANCE = 1e-6
 #: A host is blocked if its distrust, as a share of all, is over so many times its trust.
@@ -79,8 +81,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     links out goes back to the seeds: as the equation is linear, that is the solution without it, scaled to a sum of 1.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
-    shares = common.small(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (damping * F.col("weight") / F.col("total")).alias("share")))
-    start = common.cut(seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("mass")))
+    parts = 1 + edges.count() // EDGES_IN_PART
+    shares = common.small(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (damping * F.col("weight") / F.col("total")).alias("share")).coalesce(parts))
+    start = common.cut(seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("mass")).coalesce(parts))
     ranks, before = start, 0.0
     while True:
         whole = ranks.agg(F.coalesce(F.sum("mass"), F.lit(0.0)).alias("mass")).first()["mass"]
@@ -89,7 +92,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
         before = whole
         for _ in range(CHECKPOINT_EVERY):
             moved = ranks.join(shares, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share")).alias("mass"))
-            ranks = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+            ranks = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("mass").alias("mass")).coalesce(parts)
         ranks = common.cut(ranks)
     sums = {r["kind"]: r["mass"] for r in ranks.groupBy("kind").agg(F.sum("mass").alias("mass")).collect()}  # a row for each kind
     scale = F.lit(1.0)
