@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +21,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession | SparkContext) -> str:
     """The shared folder named by spark.checkpoint.dir. A temporary one is made only where none is set, as in tests."""
+    if isinstance(spark, SparkContext):
+        spark = SparkSession(spark)
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isDefined():
@@ -38,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished steps that checkpoints have replaced. It does so when the driver collects
+    its garbage, which may take long: every spark.cleaner.periodicGC.interval, half an hour unless set."""
+    for _ in range(2):  # the first lets go of what Python held, the second of what hung on that
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased and nothing else."""
     return F.translate(text, UPPER, LOWER)
