@@ -135,4 +135,19 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(common.read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op4_url_filters": op4_url_filters}
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_url_filters that the urls alone decide, which SQL can check."""
+    judged = op4_url_filters(spark, sf_dir)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+QUERIES = {"op4_url_filters": op4_url_filters, "url_rules": url_rules}
+
+ORACLE_SQL = {
+    "url_rules": r"""
+WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rules(verdict, rule, name, start) AS (VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')),
+best AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS ruled FROM (SELECT DISTINCT host, path FROM parts) p JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY ALL)
+SELECT page_id, host, path, rule, ruled FROM parts LEFT JOIN best USING (host, path)"""
+}
