@@ -8,7 +8,6 @@ import tempfile
 import time
 import uuid
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +20,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession | SparkContext) -> str:
+def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir. A temporary one is made only where none is set, as in tests."""
-    if isinstance(spark, SparkContext):
-        spark = SparkSession(spark)
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isDefined():
@@ -114,9 +111,14 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def same_document(a: DataFrame, b: DataFrame) -> Column:
-    """Whether doc_id, null or not, and tkey are equal: such rows are repeats."""
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tkey"] == b["tkey"])
+def other(rows: DataFrame) -> DataFrame:
+    """rows with doc_id and tkey under other names, as the second side of a join on same_document."""
+    return rows.withColumnsRenamed({"doc_id": "_id", "tkey": "_tkey"})
+
+
+def same_document() -> Column:
+    """Whether doc_id, null or not, and tkey are equal on both sides: such rows are repeats."""
+    return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey"))
 
 
 def first_of_each(documents: DataFrame, members: DataFrame) -> DataFrame:
@@ -125,7 +127,7 @@ def first_of_each(documents: DataFrame, members: DataFrame) -> DataFrame:
     first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tkey")).alias("row"))
     stay = cut(first.select(F.col("row.doc_id").alias("doc_id"), F.col("row.tkey").alias("tkey")))
     rows = with_row(documents).withColumn("tkey", text_key())
-    kept = rows.join(stay, same_document(rows, stay), "left_semi")
+    kept = rows.join(other(stay), same_document(), "left_semi")
     if not members.groupBy("doc_id", "tkey").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "tkey"])
     return unwrapped(kept, documents)

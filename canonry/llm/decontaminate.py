@@ -138,9 +138,9 @@ def searched(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     chosen = [(m, 0) for m in masks] + [(m, n) for n in sorted(lengths) for m in short_masks(n, share)]
     found = common.cut(alignments(docs, items, chosen, window))
     wanted = common.small(found.select("doc_id", "tkey").distinct())
-    texts = docs.join(wanted, common.same_document(docs, wanted), "left_semi").dropDuplicates(["doc_id", "tkey"])
+    texts = docs.join(common.other(wanted), common.same_document(), "left_semi").dropDuplicates(["doc_id", "tkey"])
     pairs = found.join(common.small(items.select("item", "item_id", F.col("words").alias("item_words"))), "item")
-    rows = pairs.join(texts, common.same_document(pairs, texts)).select(pairs["doc_id"], pairs["tkey"], "item_id", "shifts", "words", "item_words", F.least(F.lit(window), F.size("item_words")).alias("window"))
+    rows = pairs.join(common.other(texts), common.same_document()).select("doc_id", "tkey", "item_id", "shifts", "words", "item_words", F.least(F.lit(window), F.size("item_words")).alias("window"))
     length = lambda s: F.least(F.size("words") - F.greatest(s, F.lit(0)), F.size("item_words") - F.greatest(-s, F.lit(0)))
     long_enough = F.filter("shifts", lambda s: length(s) >= F.col("window"))
     full = F.col("window")
@@ -163,7 +163,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> Data
     those whose own text is contaminated go; rows with a null id are judged too. Without items all stay."""
     bad = common.small(searched(documents, benchmark, **options).select("doc_id", "tkey").distinct())
     rows = common.with_row(documents).withColumn("tkey", common.text_key())
-    return common.unwrapped(rows.join(bad, common.same_document(rows, bad), "left_anti"), documents)
+    return common.unwrapped(rows.join(common.other(bad), common.same_document(), "left_anti"), documents)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,12 +9,13 @@ import textwrap
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from canonry.llm import chat, common, decontaminate, licenses, lm, neardup, packing, quality, simhash, tokens, toxicity, urls
+from canonry.llm import chat, common, decontaminate, licenses, lm, neardup, packing, quality, registry, simhash, tokens, toxicity, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -711,6 +712,17 @@ def test_seating():
         assert abs(some - np.mean(one)) < 0.06 * np.mean(one)
 
 
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_queries_against_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "pages"):
+        con.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
+    want, got = con.sql(registry.oracle_sql()[name]), registry.queries()[name](spark, sf_dir)
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    assert collections.Counter(tuple(r[c] for c in columns) for r in got.collect()) == collections.Counter(tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall())
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
