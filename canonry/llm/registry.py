@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, lm, packing, quality, simhash, tokens, toxicity, urls
+from . import chat, decontaminate, licenses, lm, packing, quality, simhash, tokens, toxicity, urls, vectors
 
-MODULES = [chat, decontaminate, licenses, lm, packing, quality, simhash, tokens, toxicity, urls]
+MODULES = [chat, decontaminate, licenses, lm, packing, quality, simhash, tokens, toxicity, urls, vectors]
 
 
 def queries() -> dict:
