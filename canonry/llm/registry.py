@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, lm, packing, quality, repair, simhash, tokens, toxicity, urls, vectors
+from . import chat, decontaminate, licenses, lm, packing, quality, repair, secrets, simhash, tokens, toxicity, urls, vectors
 
-MODULES = [chat, decontaminate, licenses, lm, packing, quality, repair, simhash, tokens, toxicity, urls, vectors]
+MODULES = [chat, decontaminate, licenses, lm, packing, quality, repair, secrets, simhash, tokens, toxicity, urls, vectors]
 
 
 def queries() -> dict:
