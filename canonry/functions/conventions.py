@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import Automaton, Unsupported, automaton
+
 #: Groups of rules and their options; those in PROMPT_ONLY are for a grouper to follow.
 RULES = {
     "leading_articles": ("strip",),
@@ -215,21 +217,27 @@ def backtracks(pattern: str) -> bool:
     return bad(parsed)
 
 
-def compile_pattern(pattern: str) -> re.Pattern | None:
-    """Matches whole names; None if the pattern can't be enforced."""
-    return None if pattern_error(pattern) else re.compile(f"(?:{pattern})")
+def compile_pattern(pattern: str) -> Automaton | None:
+    """Matches whole names, in time that grows with the name alone; None if the pattern can't be enforced."""
+    if pattern_error(pattern):
+        return None
+    try:
+        return automaton(pattern)
+    except Unsupported:
+        return None
 
 
-def matches(compiled: re.Pattern | None, name: str) -> bool:
+def matches(compiled: Automaton | None, name: str) -> bool:
     if compiled is None:
         return True
-    return 0 < len(name) <= LONGEST_NAME and compiled.fullmatch(name) is not None
+    return 0 < len(name) <= LONGEST_NAME and compiled.fullmatch(name)
 
 
 def matches_column(name: Column, pattern: str) -> Column:
-    if pattern_error(pattern):
+    compiled = compile_pattern(pattern)
+    if compiled is None:
         return F.lit(True)
-    return F.when((F.length(name) > 0) & (F.length(name) <= LONGEST_NAME), name.rlike(f"^(?:{pattern})$")).otherwise(False)
+    return F.when((F.length(name) > 0) & (F.length(name) <= LONGEST_NAME), compiled.matches(name)).otherwise(False)
 
 
 #: Limits of a specification.

@@ -96,6 +96,11 @@ def quoted(name: str) -> str:
     return ".".join(f"`{p}`" for p in name.split("."))
 
 
+def ticked(column: str) -> str:
+    """Any column name for SQL."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def parse_table_name(name: str, catalog: str | None = None) -> tuple[str | None, str | None, str]:
     """Catalog, schema and table of a name of one to three parts; another catalog than the given one is refused."""
     parts = name.split(".")

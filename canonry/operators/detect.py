@@ -94,6 +94,14 @@ def dequeue(queue: DataFrame, pipeline_id: int, done: DataFrame) -> DataFrame:
     return queue.join(gone, ["pipeline_id", "normalized_value"], "left_anti")
 
 
+def settle(queue: DataFrame, pipeline_id: int, done: DataFrame) -> DataFrame:
+    """queue after a drain exported done (nv, n): what came for a value after the drain read it stays, with that frequency."""
+    gone = done.groupBy(F.col("nv").alias("_nv")).agg(F.max("n").alias("_n"))
+    mine = (F.col("pipeline_id") == pipeline_id) & (F.col("normalized_value") == F.col("_nv"))
+    rest = queue.join(gone, mine, "left").withColumn("source_frequency", F.col("source_frequency") - F.coalesce("_n", F.lit(0)))
+    return rest.where(F.col("_n").isNull() | (F.col("source_frequency") > 0)).select(*queue.columns)
+
+
 def clear_queue(queue: DataFrame, pipeline_id: int) -> DataFrame:
     return queue.where(F.col("pipeline_id") != pipeline_id)
 

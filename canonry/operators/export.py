@@ -3,26 +3,54 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.normalize import BEYOND, CONTROL, SPACES, composed_key_sql, with_keys
+from ..functions.frames import cut
+from ..functions.normalize import BEYOND, CONTROL, SPACES, beyond, composed_key, composed_key_sql, normalize
 from ..functions.text import standardized_name
 from .mappings import dictionary, small
 
+#: Begins what stands for a value that has to be composed; no key holds it, as it is a control character.
+RAW = "\x01"
+
+
+def helper(columns: list[str]) -> str:
+    """A prefix that none of the columns has."""
+    prefix = "_h"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def looked_up(source: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
+    """at, name: what a value is joined by, and its canonical name. Keys of the mapping stand for themselves; values of the
+    column that have to be composed before they become keys stand for themselves too, marked, so that rows needn't be
+    composed. Only the watched column is read, and only distinct values meet Python."""
+    names = dictionary(mapping)
+    value = F.col(f"`{column}`").cast("string")
+    odd = source.select(value.alias("raw")).where(beyond(F.col("raw"))).distinct().withColumn("nv", normalize(F.col("raw")))
+    marked = odd.join(names, "nv").select(F.concat(F.lit(RAW), "raw").alias("at"), F.col("alias_name").alias("name"))
+    return cut(names.select(F.col("nv").alias("at"), F.col("alias_name").alias("name")).unionByName(marked))
+
 
 def _joined(source: DataFrame, mappings: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
     """source joined to each watched column's mapping; the aliases, and whether a value is blank, by column.
 
-    Keys are worked out where the rows are, without a shuffle; only mappings are measured, and broadcast if small.
+    Rows are read once, and what they are joined by is worked out where they are, in JVM expressions, without a shuffle;
+    only mappings are measured, and broadcast if small.
     """
-    out = with_keys(source, {c: f"_key{i}" for i, c in enumerate(mappings)})
+    prefix = helper(source.columns)
+    value = {c: F.col(f"`{c}`").cast("string") for c in mappings}
+    out = source.withColumns({f"{prefix}key{i}": F.when(beyond(v), F.concat(F.lit(RAW), v)).otherwise(composed_key(v)) for i, v in enumerate(value.values())}) if mappings else source
     alias, blank = {}, {}
     for i, (column, mapping) in enumerate(mappings.items()):
-        found = dictionary(mapping).select(F.col("nv").alias(f"_nv{i}"), F.col("alias_name").alias(f"_alias{i}"))
-        out = out.join(small(found), F.col(f"_key{i}") == F.col(f"_nv{i}"), "left")
-        alias[column], blank[column] = F.col(f"_alias{i}"), F.coalesce(f"_key{i}", F.lit("")) == ""
+        found = looked_up(source, column, mapping).select(F.col("at").alias(f"{prefix}at{i}"), F.col("name").alias(f"{prefix}alias{i}"))
+        out = out.join(small(found), F.col(f"{prefix}key{i}") == F.col(f"{prefix}at{i}"), "left")
+        alias[column], blank[column] = F.col(f"{prefix}alias{i}"), is_blank(value[column])
     return out, alias, blank
 
 
@@ -54,25 +82,57 @@ def companion_columns(source: DataFrame, mappings: dict[str, DataFrame]) -> Data
 
 def companion_delta(synced: DataFrame, mappings: dict[str, DataFrame]) -> DataFrame:
     """Rows of a table with companion columns that a sync would change; none in a steady state."""
-    names = {standardized_name(c) for c in mappings}
-    plain = synced.select(*[F.col(f"`{c}`") for c in synced.columns if c not in names], *[F.col(f"`{standardized_name(c)}`").alias(f"_old{i}") for i, c in enumerate(mappings)])
-    fresh = companion_columns(plain, mappings)
-    changed = reduce(lambda a, b: a | b, [~F.col(f"_old{i}").eqNullSafe(F.col(f"`{standardized_name(c)}`")) for i, c in enumerate(mappings)])
-    return fresh.where(changed)
+    out, changed = _synced(synced, mappings)
+    return out.where(changed).select(*[F.col(f"`{c}`") for c in synced.columns if c not in {standardized_name(x) for x in mappings}], *[F.col(f"`{standardized_name(c)}`") for c in mappings])
+
+
+def _synced(synced: DataFrame, mappings: dict[str, DataFrame]) -> tuple[DataFrame, Column]:
+    """synced with its companion columns as they should be, and whether a row's were otherwise."""
+    names = {c: standardized_name(c) for c in mappings}
+    prefix = helper([*synced.columns, *names.values()]) + "old"
+    plain = synced.withColumnsRenamed({n: f"{prefix}{i}" for i, n in enumerate(names.values())})
+    out, alias, _ = _joined(plain, mappings)
+    changed = reduce(lambda a, b: a | b, [~F.col(f"{prefix}{i}").eqNullSafe(alias[c]) for i, c in enumerate(mappings)], F.lit(False))
+    return out.withColumns({names[c]: alias[c] for c in mappings}).withColumn(f"{prefix}changed", changed), F.col(f"{prefix}changed")
 
 
 def sync_companions(store, table: str, mappings: dict[str, DataFrame]) -> int:
-    """Brings a stored table's companion columns up to date in place and returns how many rows that changed: columns that
-    are missing are added; rows whose value is mapped otherwise, or not any more, are rewritten. None to change: nothing is
-    written."""
-    have = store.read(table)
-    missing = [c for c in mappings if standardized_name(c).lower() not in {x.lower() for x in have.columns}]
-    synced = have.select("*", *[F.lit(None).cast("string").alias(standardized_name(c)) for c in missing])
-    changed = companion_delta(synced, mappings).count()
-    if changed or missing:
-        names = {standardized_name(c) for c in mappings}
-        store.publish(table, companion_columns(synced.select(*[F.col(f"`{c}`") for c in synced.columns if c not in names]), mappings))
-    return changed
+    """Brings a stored table's companion columns up to date and returns how many rows that changed. Columns that are
+    missing count as null. Only files that hold a row whose value is mapped otherwise, or not any more, are written anew;
+    the others stay as they are under the new version. None to change: nothing is written."""
+    from .store import Change, Kept, Snapshot
+
+    touched = 0
+
+    def change(now: Snapshot) -> Change | None:
+        nonlocal touched
+        have = now.read(table)
+        missing = [standardized_name(c) for c in mappings if standardized_name(c).lower() not in {x.lower() for x in have.columns}]
+        schema = StructType([*have.schema.fields, *[StructField(c, StringType()) for c in missing]])
+        read = lambda paths: now.spark.read.schema(schema).parquet(*paths)  # noqa: E731  a file without a column has nulls
+        every = read(now.held(table)["paths"])
+        at = helper(schema.names) + "file"
+        rows, changed = _synced(every.withColumn(at, F.col("_metadata.file_path")), mappings)
+        files = {r[at]: r["n"] for r in rows.where(changed).groupBy(at).agg(F.count("*").alias("n")).collect()}  # a row for each file at most
+        touched = sum(files.values())
+        if not touched and not missing:
+            return None
+        stale = {plain_path(f) for f in files}
+        stay = [f for f in map(plain_path, every.inputFiles()) if f not in stale]
+        rest = None
+        if stale:
+            again, _ = _synced(read(sorted(stale)), mappings)
+            rest = again.select(*[F.col(f"`{c}`") for c in schema.names])
+        return Change({table: Kept(stay, rest, schema)})
+
+    store.transact(change)
+    return touched
+
+
+def plain_path(url: str) -> str:
+    """A file's path as a reader takes it, from the URL that Spark gives."""
+    scheme, _, rest = unquote(url).partition(":")
+    return f"{scheme}:/{rest.lstrip('/')}" if scheme == "file" else unquote(url)
 
 
 def pasted_table(source: DataFrame, column: str, mapping: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import numbered
 from ..functions.normalize import normalize, not_blank
 from ..functions.text import first_word
 
@@ -104,9 +105,8 @@ def first_per_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFram
 
 
 def with_ids(rows: DataFrame, column: str, order: list[str], start: int = 0) -> DataFrame:
-    """rows numbered from start + 1 in the given order. For new names and mappings, of which a run adds at most a few
-    thousand; a total order takes one task."""
-    return rows.withColumn(column, (F.row_number().over(Window.orderBy(*order)) + start).cast("long"))
+    """rows numbered from start + 1 in the given order, as many as there are; no task has them all."""
+    return numbered(rows, column, order, start)
 
 
 def upsert_names(names: DataFrame, proposed: DataFrame, now: Column, next_id: int) -> DataFrame:

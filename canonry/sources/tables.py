@@ -20,11 +20,16 @@ def raw_counts(df: DataFrame, column: str) -> DataFrame:
 def distinct_values(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     """nv, literal_value, source_frequency: one spelling for each key, the commonest, then the first. The key is worked
     out on distinct spellings alone. limit: the most frequent values."""
-    counts = raw_counts(df, column).withColumn("nv", normalize(F.col("raw"))).where(not_blank(F.col("nv")))
-    out = counts.groupBy("nv").agg(F.min_by("raw", F.struct(-F.col("n"), "raw")).alias("literal_value"), F.sum("n").alias("source_frequency"))
+    out = values_of(raw_counts(df, column))
     return out if limit is None else out.orderBy(F.desc("source_frequency"), "nv").limit(limit)
 
 
+def values_of(counts: DataFrame) -> DataFrame:
+    """distinct_values, from distinct spellings and their rows (raw, n)."""
+    keyed = counts.withColumn("nv", normalize(F.col("raw"))).where(not_blank(F.col("nv")))
+    return keyed.groupBy("nv").agg(F.min_by("raw", F.struct(-F.col("n"), "raw")).alias("literal_value"), F.sum("n").alias("source_frequency"))
+
+
 def distinct_keys(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     """As distinct_values, without frequencies."""
     return distinct_values(df, column, limit).select("nv", "literal_value")
