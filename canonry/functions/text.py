@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,6 +97,11 @@ def quoted(name: str) -> str:
     return ".".join(f"`{p}`" for p in name.split("."))
 
 
+def plain_path(url: str) -> str:
+    """A file's path as a reader takes it, from the URL that Spark gives, in one form for local files."""
+    return re.sub("^file:/+", "file:/", unquote(url))
+
+
 def ticked(column: str) -> str:
     """Any column name for SQL."""
     return "`" + column.replace("`", "``") + "`"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.frames import cut
 from ..functions.normalize import BEYOND, CONTROL, SPACES, beyond, composed_key, composed_key_sql, normalize
-from ..functions.text import standardized_name
+from ..functions.text import plain_path, standardized_name
 from .mappings import dictionary, small
 
 #: Begins what stands for a value that has to be composed; no key holds it, as it is a control character.
@@ -129,12 +128,6 @@ def sync_companions(store, table: str, mappings: dict[str, DataFrame]) -> int:
     return touched
 
 
-def plain_path(url: str) -> str:
-    """A file's path as a reader takes it, from the URL that Spark gives."""
-    scheme, _, rest = unquote(url).partition(":")
-    return f"{scheme}:/{rest.lstrip('/')}" if scheme == "file" else unquote(url)
-
-
 def pasted_table(source: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """The source with standardized_<column> right after the column; matched on the raw value, empty if unmapped.
     mapping: literal_value, alias_name."""

@@ -7,9 +7,12 @@ any more. They are appended, and rewritten once most of them are dead or there a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import plain_path
 from ..operators.mappings import small
 from ..operators.store import Change, Kept, Snapshot, Store
 from .tables import values_of
@@ -21,7 +24,8 @@ APPENDICES = 16
 
 def file_id() -> Column:
     """Path, size and time of the file that a row is of."""
-    return F.concat_ws("|", "_metadata.file_path", F.col("_metadata.file_size").cast("string"), F.unix_micros("_metadata.file_modification_time").cast("string"))
+    path = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
+    return F.concat_ws("|", path, F.col("_metadata.file_size").cast("string"), F.unix_micros("_metadata.file_modification_time").cast("string"))
 
 
 def listed(spark, path: str) -> list[str]:
@@ -33,7 +37,8 @@ def listed(spark, path: str) -> list[str]:
         f = files.next()
         name = f.getPath().getName()
         if not name.startswith((".", "_")):
-            out.append(f"{spark._jvm.org.apache.spark.paths.SparkPath.fromPath(f.getPath()).urlEncoded()}|{f.getLen()}|{f.getModificationTime() * 1000}")
+            url = re.sub("^file:/+", "file:/", f.getPath().toUri().toString())
+            out.append(f"{url}|{f.getLen()}|{f.getModificationTime() * 1000}")
     return sorted(out)
 
 
@@ -72,8 +77,7 @@ class FileSummaries:
     def summaries(self, files: list[str]) -> DataFrame:
         if not files:
             return self.spark.createDataFrame([], SUMMARY)
-        plain = [self.spark._jvm.org.apache.spark.paths.SparkPath.fromUrlString(f.rsplit("|", 2)[0]).toPath().toString() for f in files]
-        rows = self.spark.read.parquet(*plain).select(file_id().alias("file"), F.col(f"`{self.column}`").cast("string").alias("raw"))
+        rows = self.spark.read.parquet(*[plain_path(f.rsplit("|", 2)[0]) for f in files]).select(file_id().alias("file"), F.col(f"`{self.column}`").cast("string").alias("raw"))
         # a file without values has a row too, by which it is known
         return rows.groupBy("file", "raw").agg(F.count("*").alias("n"))
 
