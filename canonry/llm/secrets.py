@@ -260,6 +260,15 @@ class Formats:
         return out
 
 
+def lowest(rows: DataFrame, most: int) -> list[str]:
+    """value of at most so many rows (value, h), those with the lowest hashes. Where there are many more, tasks leave out
+    hashes that can hardly be among them, so that the driver doesn't get as many from every task."""
+    n = rows.count()
+    if n > 2 * most:
+        rows = rows.where(F.col("h") < -(1 << 63) + int((1 << 64) * 1.5 * most / n))
+    return [r["value"] for r in rows.orderBy("h", "value").limit(most).collect()]
+
+
 def learn(found: DataFrame, sample: int = SAMPLE, ordinary: int = ORDINARY) -> Formats:
     """Automata from at most `sample` distinct credentials of each kind, and `ordinary` other runs as often as they occur,
     chosen by hash, of which the first SAMPLED_LENGTH characters count."""
@@ -268,9 +277,9 @@ def learn(found: DataFrame, sample: int = SAMPLE, ordinary: int = ORDINARY) -> F
     credentials = {}
     for k, name in enumerate(KINDS):
         own = known.where(F.col("kind") == k).select("value").distinct()
-        credentials[name] = [r["value"] for r in own.orderBy(F.xxhash64("value"), "value").limit(sample).collect()]  # a bounded sample
+        credentials[name] = lowest(own.withColumn("h", F.xxhash64("value")), sample)
     runs = found.select("doc_id", F.explode("runs").alias("r")).select(begin("r.value"), F.xxhash64("doc_id", "r.start", "r.value").alias("h"))
-    return Formats(credentials, [r["value"] for r in runs.orderBy("h", "value").limit(ordinary).collect()])
+    return Formats(credentials, lowest(runs, ordinary))
 
 
 def with_formats(found: DataFrame, formats: Formats) -> DataFrame:
