@@ -30,6 +30,8 @@ PARAMETERS = {("word_count", "max"): ("n",), ("length", "min"): ("min",), ("leng
 #: Suffixes that are dropped, and words with a standard form.
 SUFFIXES = ("incorporated", "inc", "corporation", "corp", r"l\.?l\.?c", r"l\.?l\.?p", r"p\.?l\.?c", r"l\.?p", "limited", "ltd", "gmbh", "ag", r"s\.?a", r"n\.?v", r"b\.?v", "pty", "plc")
 STANDARD = {"incorporated": "Inc.", "corporation": "Corp.", "limited": "Ltd.", "company": "Co."}
+#: What the rules for articles, ampersands and trailing punctuation match.
+ARTICLE, AMPERSAND, TRAILING = r"(?i)^(?:the|an?)\s+", r"\s*&\s*", r"[^\p{L}\p{N})\]]+$"
 ALLOWED = {"alnum_periods": "A-Za-z0-9.", "alnum_spaces": "A-Za-z0-9 ", "alnum_underscore": "A-Za-z0-9_", "alnum_only": "A-Za-z0-9"}
 JOINED = {"underscore": "_", "hyphen": "-", "concatenate": ""}
 LONGEST_NAME = 200
@@ -64,20 +66,20 @@ def steps(rules: dict) -> list[tuple[str, str, str]]:
     of = lambda group: (rules.get(group) or {}).get("value")
     out = [("replace", r"^\s+|\s+$", "")]
     if of("leading_articles") == "strip":
-        out.append(("replace", r"(?i)^(?:the|an?)\s+", ""))
+        out.append(("replace", ARTICLE, ""))
     if of("corporate_suffix") == "strip":
         out.append(("replace", rf"(?i)(?:[\s,]+(?:{'|'.join(SUFFIXES)})\.?\s*)+$", ""))
     elif of("corporate_suffix") == "normalize":
         out += [("replace", rf"(?i)\b{word}\b\.?", short) for word, short in STANDARD.items()]
     if of("ampersand") in ("spell_out", "drop"):
-        out.append(("replace", r"\s*&\s*", " and " if of("ampersand") == "spell_out" else " "))
+        out.append(("replace", AMPERSAND, " and " if of("ampersand") == "spell_out" else " "))
     if of("case") or of("acronyms") == "force_caps":
         out.append(("case", of("case") or "", of("acronyms") or ""))
     out.append(("replace", r"\s+", JOINED.get(of("spaces"), " ")))
     if of("special_chars") in ALLOWED:
         out.append(("replace", f"[^{ALLOWED[of('special_chars')]}]", ""))
     if of("trailing_punct") == "strip":
-        out.append(("replace", r"[^\p{L}\p{N})\]]+$", ""))
+        out.append(("replace", TRAILING, ""))
     return [*out, ("replace", r"^\s+|\s+$", "")]
 
 

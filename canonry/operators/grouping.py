@@ -6,9 +6,11 @@ of chunks run on executors.
 
 from __future__ import annotations
 
+import copy
+import json
 import time
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime
 from typing import Protocol
 
@@ -129,26 +131,31 @@ def checked(answer: Answer, chunk: list[Item]) -> tuple[list[Group], list[int]]:
 
 
 def group_chunks(spark, parts: list[list[Item]], grouper: Grouper, known_names: list[str]) -> tuple[list[Group], list[int], list[int]]:
-    """Groups, unassigned and failed items of all chunks; each chunk is a task. All failed: RuntimeError."""
+    """Groups, unassigned and failed items of all chunks. Chunks are asked from executors, no more at a time than the
+    grouper's concurrency, if it has one; what they used is added to its usage. All failed: RuntimeError."""
     if not parts:
         return [], [], []
     rows = [(c, p, item.literal) for c, part in enumerate(parts) for p, item in enumerate(part)]
 
-    def answer(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        import json
-
+    def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         literals = list(pdf.sort_values("place")["literal"])
+        own = copy.copy(grouper)
+        own.usage = None if not hasattr(grouper, "usage") else type(grouper.usage)()
         try:
-            got = with_retry(lambda: grouper.group(literals, known_names), sleep=time.sleep)
+            # a grouper that tells passing errors apart waits by itself
+            got = own.group(literals, known_names) if hasattr(own, "ask") else with_retry(lambda: own.group(literals, known_names))
             text = json.dumps({"g": [[list(p), n, c] for p, n, c in got.groups], "u": list(got.unassigned)})
         except Exception as e:  # noqa: BLE001
             text = json.dumps({"error": str(e)})
-        return pd.DataFrame({"chunk": [key[0]], "answer": [text]})
-
-    import json
-
-    table = spark.createDataFrame(rows, "chunk int, place int, literal string").repartition(len(parts), "chunk")
-    answers = {r["chunk"]: json.loads(r["answer"]) for r in table.groupBy("chunk").applyInPandas(answer, "chunk int, answer string").collect()}
+        return pd.DataFrame({"chunk": [key[0]], "answer": [text], "usage": [list(own.usage.values()) if own.usage is not None else []]})
+
+    tasks = min(len(parts), getattr(grouper, "concurrency", len(parts)))
+    table = spark.createDataFrame(rows, "chunk int, place int, literal string").repartition(tasks, "chunk")
+    got_rows = table.groupBy("chunk").applyInPandas(answer, "chunk int, answer string, usage array<long>").collect()
+    answers = {r["chunk"]: json.loads(r["answer"]) for r in got_rows}
+    for r in got_rows:  # of each chunk's task that counted, whatever was tried again
+        if r["usage"]:
+            grouper.usage += type(grouper.usage)(*r["usage"])
     groups, loose, failed = [], [], []
     for c, part in enumerate(parts):
         got = answers[c]
@@ -195,8 +202,14 @@ def apply_merges(groups: list[Group], merges: list[tuple[list[int], str | None]]
 
 
 def diverse(literals: list[str]) -> list[str]:
-    """The shortest, the longest and the one with most kinds of characters."""
-    return list(dict.fromkeys([min(literals, key=lambda x: (len(x), x)), max(literals, key=lambda x: (len(x), x)), max(literals, key=lambda x: (len(set(x)), x))]))
+    """Up to three as they are; of more, the shortest, the one with most kinds of characters that the other two lack, and
+    the longest."""
+    if len(literals) <= 3:
+        return list(literals)
+    ordered = sorted(literals, key=lambda x: (len(x), x))
+    shortest, longest, seen = ordered[0], ordered[-1], set((ordered[0] + ordered[-1]).lower())
+    rest = [x for x in ordered if x not in (shortest, longest)]
+    return [shortest, *([max(rest, key=lambda x: len(set(x.lower()) - seen))] if rest else []), longest]
 
 
 def conforming(groups: list[Group], rules: dict | None, grouper, rounds: int = 2) -> tuple[list[Group], list[int]]:
@@ -281,6 +294,17 @@ class Run:
         return [(literal[i], g.name) for g in self.groups for i in g.items]
 
 
+def run_document(run: Run) -> dict:
+    """As JSON values."""
+    return asdict(run) | {"changed_at": run.changed_at.isoformat() if run.changed_at else None}
+
+
+def run_of(d: dict) -> Run:
+    groups = [Group(**g | {"items": tuple(g["items"])}) for g in d["groups"]]
+    at = datetime.fromisoformat(d["changed_at"]) if d["changed_at"] else None
+    return Run(**d | {"items": [Item(**x) for x in d["items"]], "groups": groups, "changed_at": at})
+
+
 def items_of(values: Iterable[tuple[str, int]], aliases: dict[str, str] | None = None) -> list[Item]:
     """Items numbered from 1, with the lookup's names by key; blanks left out."""
     kept = [(literal, n) for literal, n in values if not is_blank_value(literal)]
@@ -302,7 +326,7 @@ def auto_group(spark, run: Run, grouper: Grouper, known_names: list[str] = (), r
     found, loose, failed = group_chunks(spark, parts, grouper, names)
     if len(parts) > 1:
         found = merged_by_name(found)
-        if hasattr(grouper, "merge"):
+        if hasattr(grouper, "merge") and len(found) > 1:
             try:
                 found = apply_merges(found, grouper.merge([(g.name, diverse([literals[i] for i in g.items])) for g in found]))
             except Exception:  # noqa: BLE001  merging is a bonus

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.conventions import spec_errors
 from ..functions.normalize import normalize_value
 from ..functions.schedule import DEFAULT, PAUSE_AFTER, Schedule, backoff_minutes
-from ..functions.text import classify_error, quoted
+from ..functions.text import classify_error, map_name, quoted
 from ..operators import detect, export, leases, mappings, maps
-from ..operators.grouping import Group, Grouper, Item, Run, auto_group, items_of
+from ..operators.grouping import Grouper, Run, auto_group, items_of, run_document, run_of
 from ..operators.leases import Lease, holds
 from ..operators.store import Change, Conflict, Snapshot, Store
 from ..sources.incremental import FileSummaries
@@ -61,24 +61,14 @@ class Pipeline:
         return self.reason in BLOCKED
 
 
-def plain(thing: Pipeline | Run) -> dict:
+def pipeline_document(pipeline: Pipeline) -> dict:
     """As JSON values."""
-    text = lambda v: v.isoformat() if isinstance(v, datetime) else v
-    return {k: text(v) for k, v in asdict(thing).items()}
-
-
-def moment(text: str | None) -> datetime | None:
-    return datetime.fromisoformat(text) if text else None
+    return {k: v.isoformat() if isinstance(v, datetime) else v for k, v in asdict(pipeline).items()}
 
 
 def pipeline_of(d: dict) -> Pipeline:
     schedule = Schedule(**d["schedule"] | {"days": tuple(d["schedule"]["days"])})
-    return Pipeline(**d | {"schedule": schedule} | {t: moment(d[t]) for t in TIMES})
-
-
-def run_of(d: dict) -> Run:
-    groups = [Group(**g | {"items": tuple(g["items"])}) for g in d["groups"]]
-    return Run(**d | {"items": [Item(**x) for x in d["items"]], "groups": groups, "changed_at": moment(d["changed_at"])})
+    return Pipeline(**d | {"schedule": schedule} | {t: datetime.fromisoformat(d[t]) if d[t] else None for t in TIMES})
 
 
 class Engine:
@@ -199,7 +189,7 @@ class Engine:
     def keep(self, pipeline: Pipeline) -> None:
         """The pipeline as it is now, for other drivers and after a restart."""
         if pipeline.pipeline_id in self.pipelines:
-            self.store.update("pipelines", pipeline.pipeline_id, lambda _: plain(pipeline))
+            self.store.update("pipelines", pipeline.pipeline_id, lambda _: pipeline_document(pipeline))
 
     def load_state(self) -> None:
         """All pipelines as they were last kept, by whichever driver; objects of this one stay the same objects."""
@@ -224,7 +214,7 @@ class Engine:
     def save_run(self, run: Run) -> Run:
         """Conflict if another driver saved it since this one read it."""
         run.changed_at = self.clock()
-        run.rev = self.store.save("runs", run.run_id, plain(run), run.rev)
+        run.rev = self.store.save("runs", run.run_id, run_document(run), run.rev)
         return run
 
     def step(self, run: Run, status: str) -> Run:
@@ -548,7 +538,7 @@ class Engine:
 
     def refresh_view(self, pipeline: Pipeline, watched: dict[str, Pipeline]) -> None:
         """Bring the maps of a view up to date; the view itself stays, once made, and shows the live source."""
-        tables = {c: f"{pipeline.export_name}_map_{p.pipeline_id}" for c, p in watched.items()}
+        tables = {c: f"map_{map_name(pipeline.export_name, c)}" for c in watched}
         for c, p in watched.items():
             maps.sync_map(self.store, tables[c], self.counts(p), self.mapping(p))
         sql = maps.view_over_maps(pipeline.table, self.spark.table(pipeline.table).columns, {c: self.store.name(t) for c, t in tables.items()}, pipeline.unmapped_rows)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import conventions, naming, normalize
+from ..functions import conventions, frames, naming, normalize
+from ..functions.patterns import automaton
 from ..functions.schedule import Schedule
 from ..functions.text import first_word
-from ..operators import detect, export, grouping, mappings
-from ..sources import tables
+from ..operators import detect, export, grouping, mappings, maps
+from ..operators.store import Change, Store
+from ..sources import keys, tables
+from ..sources.incremental import FileSummaries
+from ..streaming.feed import QueueFeed
 
 QUERIES, ORACLE = {}, {}
 
@@ -420,10 +426,9 @@ def confidence_bands(spark, sf_dir):
     return df.withColumn("band", naming.band_column(F.col("score")))
 
 
-@query("SELECT nation, coalesce(spec, 'none') AS spec FROM (SELECT n_name AS nation, r_name AS spec FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey <> 0)")
+@query("SELECT nation, coalesce(spec, 'none') AS spec FROM (SELECT n_name AS nation, r_name AS spec FROM nation LEFT JOIN region ON n_nationkey = r_regionkey)")
 def scoped_metadata_join(spark, sf_dir):
-    regions = read(spark, sf_dir, "region").where("r_regionkey <> 0")
-    df = mappings.with_metadata(read(spark, sf_dir, "nation"), regions, {"n_regionkey": "r_regionkey"}, {"r_name": "spec"})
+    df = mappings.with_metadata(read(spark, sf_dir, "nation"), read(spark, sf_dir, "region"), {"n_nationkey": "r_regionkey"}, {"r_name": "spec"})
     return df.select(F.col("n_name").alias("nation"), F.coalesce("spec", F.lit("none")).alias("spec"))
 
 
@@ -477,14 +482,14 @@ def known_names(spark, sf_dir):
 
 @query("""WITH names AS (SELECT c_name AS alias_name, count(o_orderkey) AS usage_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
 top AS (SELECT * FROM names ORDER BY usage_count DESC, alias_name LIMIT 200),
-words AS (SELECT DISTINCT lower(c_name) AS w FROM customer WHERE c_nationkey < 12 ORDER BY w LIMIT 300),
+words AS (SELECT DISTINCT lower(c_name) AS w FROM customer ORDER BY w LIMIT 300),
 rest AS (SELECT * FROM names WHERE alias_name NOT IN (SELECT alias_name FROM top) AND lower(alias_name) IN (SELECT w FROM words) ORDER BY usage_count DESC, alias_name LIMIT 100)
 SELECT * FROM top UNION ALL SELECT * FROM rest""")
 def known_names_beyond_the_top(spark, sf_dir):
     customer = read(spark, sf_dir, "customer")
     orders = customer.join(read(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
     names = orders.groupBy(F.col("c_name").alias("alias_name")).agg(F.count("o_orderkey").alias("usage_count")).withColumn("last_used_at", F.lit(None).cast("timestamp"))
-    return mappings.known_names(names, customer.where("c_nationkey < 12").select(F.col("c_name").alias("literal_value")))
+    return mappings.known_names(names, customer.select(F.col("c_name").alias("literal_value")))
 
 
 @query(f"WITH {values(TYPES, 'm')} SELECT * FROM ({distinct_sql('customer', 'c_name')}) v ORDER BY source_frequency DESC, nv LIMIT 40")
@@ -522,6 +527,84 @@ def within_cap(spark, sf_dir):
     return detect.drop_overlong(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", 5)
 
 
+def scratch(spark) -> Store:
+    """A store of a query's own, in the shared folder, without names in the catalog."""
+    return Store(spark, folder=f"{frames.shared_folder(spark)}/store-{uuid.uuid4().hex}", views=False)
+
+
+FEED = "SELECT CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'P' THEN 'U' ELSE 'I' END AS op, o_orderpriority AS v FROM orders"
+
+
+@query(f"""WITH came AS (SELECT {N('v')} AS nv, min(v) AS v, count(*) AS n FROM ({FEED}) WHERE op <> 'D' GROUP BY 1)
+SELECT nv AS normalized_value, v AS literal_value, CAST(CASE WHEN nv IN ('1-urgent', '2-high') THEN n ELSE 2 * n END AS BIGINT) AS source_frequency FROM came""")
+def queue_after_feed_and_drain(spark, sf_dir):
+    """Two batches of a feed with a drain of two values that read the queue before the second and ended after it; each batch
+    is offered again."""
+    op = F.when(F.col("o_orderstatus") == "F", "D").when(F.col("o_orderstatus") == "P", "U").otherwise("I")
+    batch = read(spark, sf_dir, "orders").select(op.alias("op"), F.col("o_orderpriority").alias("v"))
+    store = scratch(spark)
+    feed = QueueFeed(store, 1, "v")
+    feed.apply(batch, 0)
+    drained = frames.cut(store.read("queue").where(F.col("normalized_value").isin("1-urgent", "2-high")).select(F.col("normalized_value").alias("nv"), F.col("source_frequency").alias("n")))
+    for number in (0, 1, 1):
+        feed.apply(batch, number)
+    store.transact(lambda now: Change({"queue": detect.settle(now.read("queue"), 1, drained)}))
+    return store.read("queue").select("normalized_value", "literal_value", "source_frequency")
+
+
+@query(f"WITH {values(PRIORITIES | {'2-high': 'Top'}, 'm')} SELECT o_orderkey, o_orderpriority, m.alias_name AS standardized FROM orders LEFT JOIN m ON m.nv = {N('o_orderpriority')}")
+def companion_by_file(spark, sf_dir):
+    """A companion column that is added, then changed where one name changes, in the files that hold it."""
+    store = scratch(spark)
+    store.publish("orders", read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"))
+    for pairs in (PRIORITIES, PRIORITIES | {"2-high": "Top"}):
+        export.sync_companions(store, "orders", {"o_orderpriority": mapping(spark, pairs)})
+    return store.read("orders").withColumnRenamed("o_orderpriority_STANDARDIZED", "standardized")
+
+
+@query(distinct_sql("customer", "c_mktsegment"))
+def incremental_values(spark, sf_dir):
+    return FileSummaries(scratch(spark), "files", f"{sf_dir}/customer.parquet", "c_mktsegment").values()
+
+
+@query(export_sql(True))
+def view_over_maps(spark, sf_dir):
+    """Orders as a view over maps shows them."""
+    store, orders = scratch(spark), read(spark, sf_dir, "orders")
+    maps.sync_map(store, "priorities", tables.raw_counts(orders, "o_orderpriority"), mapping(spark, PRIORITIES))
+    orders.createOrReplaceTempView("orders_of_view_over_maps")
+    store.read("priorities").createOrReplaceTempView("map_of_view_over_maps")
+    return spark.sql(maps.view_over_maps("orders_of_view_over_maps", orders.columns, {"o_orderpriority": "map_of_view_over_maps"}, unmapped_rows=True))
+
+
+def key_sql(table: str, *columns: str) -> str:
+    """The key, if its columns tell all rows apart."""
+    return f"SELECT '{table}' AS name, CASE WHEN (SELECT count(*) = count(DISTINCT ({', '.join(columns)})) FROM {table}) THEN '{','.join(columns)}' END AS key"
+
+
+@query(" UNION ALL ".join(key_sql(*x) for x in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"), ("nation", "n_nationkey"), ("events", "event_id"))))
+def keys_found(spark, sf_dir):
+    names = ["customer", "orders", "part", "nation", "events"]
+    return spark.createDataFrame([(n, ",".join(keys.discover_keys(read(spark, sf_dir, n)))) for n in names], "name string, key string")
+
+
+@query("SELECT c_custkey, c_name, regexp_full_match(c_name, '[A-Z][a-z]+#0*([1-9]|[1-9][0-9])*[02468]') AS fits FROM customer")
+def names_by_pattern(spark, sf_dir):
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return df.withColumn("fits", automaton("[A-Z][a-z]+#0*([1-9]|[1-9][0-9])*[02468]").matches(F.col("c_name")))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
+def numbered_rows(spark, sf_dir):
+    return frames.numbered(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "place", [F.desc("o_totalprice"), "o_orderkey"]).drop("o_totalprice")
+
+
+@query(f"SELECT {N('raw')} AS nv, arg_min(raw, (o, raw)) AS literal_value, CAST(sum(n) AS BIGINT) AS source_frequency FROM (SELECT event_type AS raw, count(*) AS n, min(event_id) AS o FROM events GROUP BY 1) WHERE {N('raw')} <> '' GROUP BY 1")
+def first_seen_values(spark, sf_dir):
+    stored = read(spark, sf_dir, "events").select(F.create_map(F.lit("kind"), "event_type").alias("data"), F.col("event_id").alias("row_num"))
+    return tables.column_from_map(stored, "kind")
+
+
 def flagship(spark, sf_dir) -> DataFrame:
     """The orders table standardized by priority, as rows and value by canonical name."""
     done = export.standardize(read(spark, sf_dir, "orders"), {"o_orderpriority": mapping(spark, PRIORITIES)})

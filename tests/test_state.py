@@ -360,3 +360,27 @@ def test_two_drains_of_a_pipeline(store, other, spark, monkeypatch):
     inside, grouped, got = Once(lambda: got.append(second.drain(second.pipelines[p.pipeline_id]))), engine.grouped, []
     monkeypatch.setattr(engine, "grouped", lambda *a: (inside(), grouped(*a))[1])
     assert engine.drain(p) == 1 and got == [0]
+
+
+def test_one_time_sessions_outlive_their_driver(store, other, spark):
+    from canonry.operators.onetime import OneTime
+    from canonry.sources import files
+
+    raw = b"Carrier,City\r\nATT,Bonn\r\natt,Ulm\r\n"
+    first = OneTime(store)
+    first.open("n1", files.grid_table(spark, files.csv_grid(raw)), ["Carrier"], raw)
+    first.group("n1", grouping.FoldingGrouper())
+    first.write("n1", "target")
+    second = OneTime(other)
+    assert second.status("n1")["Carrier"] == {"status": "grouped", "items": 1, "groups": 1} and second.session("n1").target == "target"
+    assert second.patched_csv("n1") == first.patched_csv("n1") and second.standardized("n1").count() == 2
+    second.open("n2", "target", ["City"])
+    second.group("n2", grouping.FoldingGrouper())
+    with pytest.raises(PermissionError):
+        second.write("n2", "target", overwrite=True)
+    second.write("n2", "target", overwrite=True, confirmed=True)
+    assert first.archive() == ["n2", "n1"] and store.marks("target")["session"] == "n2"
+    second.forget("n1")
+    assert first.archive() == ["n2"] and store.read("target").count() == 2
+    with pytest.raises(KeyError):
+        first.status("n1")
