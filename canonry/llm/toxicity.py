@@ -21,6 +21,8 @@ from . import common
 BUCKETS = 1 << 18
 #: Labelled documents that the weights are trained on, at most; those with the smallest hashes of their ids.
 SAMPLE = 12_000
+#: Bytes of their bags that the driver takes at most, whatever the texts' lengths.
+MOST_BYTES = 256 << 20
 FOLDS = 5
 SENTENCE = re.compile(rb"[.!?\n]+")
 EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_/\\"
@@ -115,8 +117,9 @@ def train(words: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray,
     return Model(weights.astype("f4"), bias, prior)
 
 
-def labelled_bags(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> tuple[list, list, np.ndarray]:
-    """Bags of at most `sample` labelled documents outside the held-out fold, one for each id, in a fixed order."""
+def labelled_bags(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, most_bytes: int = MOST_BYTES) -> tuple[list, list, np.ndarray]:
+    """Bags of at most `sample` labelled documents outside the held-out fold, and of at most so many bytes together, one for
+    each id, in a fixed order."""
     chosen = (
         labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
         .where(F.col("_id").isNotNull() & F.col("_toxic").isNotNull() & (common.crc32_mod(F.col("_id"), folds) != 0))
@@ -132,8 +135,14 @@ def labelled_bags(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE,
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["_toxic"], "words": [w.tobytes() for w, _ in found], "sizes": [s.tobytes() for _, s in found]})
 
     made = docs.select("doc_id", "text", "_toxic").mapInPandas(hashed, "doc_id long, toxic int, words binary, sizes binary")
-    # of documents that share an id, one: the driver gets a row for each id at most
-    rows = made.groupBy("doc_id").agg(F.min(F.struct("words", "sizes", "toxic")).alias("of")).select("doc_id", "of.*").collect()
+    # of documents that share an id, one: the driver gets a row for each id at most, and no more bytes than it may hold
+    one = common.cut(made.groupBy("doc_id").agg(F.min(F.struct("words", "sizes", "toxic")).alias("of")).select("doc_id", "of.*"))
+    width = F.octet_length("words") + F.octet_length("sizes")
+    widths = one.select("doc_id", width.alias("bytes")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    fits = [r["doc_id"] for r, total in zip(widths, np.cumsum([r["bytes"] for r in widths])) if total <= most_bytes]
+    if len(fits) < len(widths):
+        one = one.join(F.broadcast(one.sparkSession.createDataFrame([(i,) for i in fits], "doc_id long")), "doc_id", "left_semi")
+    rows = one.collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["words"])))
     return [np.frombuffer(r["words"], "i4") for r in rows], [np.frombuffer(r["sizes"], "i4") for r in rows], np.array([r["toxic"] for r in rows], "i8")
 
