@@ -97,6 +97,11 @@ def quoted(name: str) -> str:
     return ".".join(f"`{p}`" for p in name.split("."))
 
 
+def sql_literal(text: str | None) -> str:
+    """A text as a literal of SQL, for statements that can't take parameters (a view's); spark.sql(..., args) serves else."""
+    return "NULL" if text is None else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def plain_path(url: str) -> str:
     """A file's path as a reader takes it, from the URL that Spark gives, in one form for local files."""
     return re.sub("^file:/+", "file:/", unquote(url))
