@@ -467,4 +467,27 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(given, damaged(given))
 
 
-QUERIES = {"op11_conversation_repair": op11_conversation_repair}
+def repair_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op11_conversation_repair finds before it repairs, which SQL can check."""
+    return op11_conversation_repair(spark, sf_dir).select("conv_id", *NUMBERS[:-1])
+
+
+QUERIES = {"op11_conversation_repair": op11_conversation_repair, "repair_findings": repair_findings}
+
+#: CRC-32 of a text of ASCII characters, bit by bit, in DuckDB.
+CRC32 = """xor(list_reduce(list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS UBIGINT)), lambda crc, b:
+  list_reduce([CAST(0 AS UBIGINT), 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN CAST(3988292384 AS UBIGINT) ELSE CAST(0 AS UBIGINT) END), xor(crc, b)), CAST(4294967295 AS UBIGINT)), CAST(4294967295 AS UBIGINT))"""
+
+ORACLE_SQL = {
+    "repair_findings": rf"""
+WITH d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place FROM conversations),
+k AS (SELECT *, {CRC32.format("place")} % 20 AS k FROM d),
+r AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE k WHEN 3 THEN [0, 1] ELSE [0] END) AS c FROM k WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, c) AS n FROM r),
+f AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS again, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS ending,
+  lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1] AS pair FROM o)
+SELECT i.conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (ending = '') AS blank, count(*) FILTER (ending <> '' AND again > 1) AS duplicate,
+  count(*) FILTER (ending <> '' AND again = 1 AND ending NOT IN ('.', '!', '?')) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN f ON i.conv_id IS NOT DISTINCT FROM f.conv_id GROUP BY i.conv_id"""
+}

@@ -715,7 +715,7 @@ def test_seating():
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_queries_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings", "conversations"):
         con.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     want, got = con.sql(registry.oracle_sql()[name]), registry.queries()[name](spark, sf_dir)
     columns = sorted(want.columns)
