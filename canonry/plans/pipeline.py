@@ -11,6 +11,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.conventions import spec_errors
 from ..functions.normalize import normalize_value
@@ -23,6 +24,7 @@ from ..operators.store import Change, Conflict, Snapshot, Store
 from ..sources.incremental import FileSummaries
 from ..sources.keys import discover_keys
 from ..sources.tables import RUN_LIMIT, distinct_values, key_columns, raw_counts, values_of
+from ..streaming import keyed
 from ..streaming.feed import ChangeLog, consume
 
 #: After so long, a run that is being written or failed is gone on with, and a pipeline's lease has run out.
@@ -53,6 +55,7 @@ class Pipeline:
     mode: str = "diff"
     mode_reason: str | None = None
     queue_run: int | None = None
+    control: str | None = None
     last_polled_at: datetime | None = None
     synced_at: datetime | None = None
     created_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
@@ -386,6 +389,23 @@ class Engine:
             return summaries.counts()
         return raw_counts(self.source(pipeline.table), pipeline.column)
 
+    def watch(self, pipeline: Pipeline, changes: DataFrame, folder: str, every: str | None = "1 minute") -> StreamingQuery:
+        """Keep the pipeline's queue as the state of a stream of changes (op, column). folder: shared and kept; the stream's
+        checkpoint is there, and what drains tell it. Rows count once whatever fails, the driver too."""
+        pipeline.control = f"{folder}/drained"
+        self.keep(pipeline)
+        events = keyed.watched(self.spark, changes, pipeline.pipeline_id, pipeline.column, pipeline.control)
+        return keyed.start(self.store, f"pipeline_{pipeline.pipeline_id}", events, f"{folder}/checkpoint", every)
+
+    def take_off(self, pipeline: Pipeline, run: Run, lease: Lease) -> None:
+        """What a drain has exported leaves the queue; what came for a value meanwhile stays."""
+        if pipeline.control:
+            lease.check(self.store.snapshot())
+            keyed.tell(self.store, pipeline.control, f"{run.run_id}-{run.rev}", pipeline.pipeline_id, [(i.literal, i.frequency) for i in run.items])
+            return
+        done = self.spark.createDataFrame([(normalize_value(i.literal), i.frequency) for i in run.items], "nv string, n long")
+        self.store.transact(holds(lease, lambda now: Change({"queue": detect.purge_blanks(detect.settle(now.read("queue"), pipeline.pipeline_id, done))})))
+
     def reconcile(self, pipeline: Pipeline, marks: dict[str, str] | None = None) -> int:
         """Queue the source's unknown values, with notes of the same commit; returns how many were new."""
         found = detect.queue_rows(detect.unknown(values_of(self.counts(pipeline)), self.mapping(pipeline), self.store.read("queue").limit(0)), pipeline.pipeline_id, self.now()).persist()
@@ -434,12 +454,17 @@ class Engine:
 
     def drain(self, pipeline: Pipeline, limit: int = RUN_LIMIT) -> int:
         """One installment of the queue: grouped, confirmed, exported and dequeued. Returns its size; 0 too while another
-        drain of the pipeline goes on, here or in another driver."""
+        drain of the pipeline goes on, here or in another driver, or a stream hasn't taken off what the last one exported."""
         lease = leases.take(self.store, f"lease_{pipeline.pipeline_id}", self.holder, self.clock(), STALE)
         if lease is None:
             return 0
         run = None
         try:
+            if pipeline.control and not keyed.settled(self.store, pipeline.pipeline_id):
+                # the stream hasn't yet taken off what the last drain exported; it may not even have been told
+                if (last := keyed.last_told(self.store, pipeline.pipeline_id)) and (told := self.run(int(last.split("-")[0]))):
+                    keyed.tell(self.store, pipeline.control, last, pipeline.pipeline_id, [(i.literal, i.frequency) for i in told.items])
+                return 0
             if not self.queued(pipeline):
                 pipeline.queue_size = 0
                 return 0
@@ -451,8 +476,7 @@ class Engine:
             run = self.step(self.grouped(pipeline, run), "validating")
             self.confirm(pipeline, run.mappings(), run.run_id, lease)
             self.refresh(pipeline, lease)
-            done = self.spark.createDataFrame([(normalize_value(i.literal), i.frequency) for i in run.items], "nv string, n long")
-            self.store.transact(holds(lease, lambda now: Change({"queue": detect.purge_blanks(detect.settle(now.read("queue"), pipeline.pipeline_id, done))})))
+            self.take_off(pipeline, run, lease)
             self.step(run, "completed")
             pipeline.queue_size = self.queued(pipeline)
             if not pipeline.queue_size:

@@ -8,6 +8,7 @@ that a third of all rows holds costs its key's task one row for each input batch
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -17,13 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.normalize import normalize, not_blank
+from ..operators.commits import Files
 from ..operators.store import Change, Snapshot, Store
 
 #: Rows of the combined stream: values that came (n of them), or that a drain has exported (n of them).
 CAME, DRAINED = "came", "drained"
 EVENTS = "pipeline_id long, kind string, literal_value string, n long"
 STATE = "literal_value string, source_frequency long, detected_at timestamp"
-OUT = "pipeline_id long, normalized_value string, literal_value string, source_frequency long, detected_at timestamp"
+OUT = "pipeline_id long, normalized_value string, literal_value string, source_frequency long, detected_at timestamp, drained long"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -33,9 +35,35 @@ def came(changes: DataFrame, pipeline_id: int, column: str) -> DataFrame:
     return rows.select(F.lit(pipeline_id).cast("long").alias("pipeline_id"), F.lit(CAME).alias("kind"), F.col(f"`{column}`").cast("string").alias("literal_value"), F.lit(1).cast("long").alias("n"))
 
 
-def drained(done: DataFrame, pipeline_id: int) -> DataFrame:
-    """Events of what a drain has exported (literal_value, n)."""
-    return done.select(F.lit(pipeline_id).cast("long").alias("pipeline_id"), F.lit(DRAINED).alias("kind"), "literal_value", F.col("n").cast("long").alias("n"))
+def drained(pipeline_id: int, done: list[tuple[str, int]]) -> str:
+    """Events of what a drain has exported (spellings and their frequencies, an installment at most), as lines of JSON."""
+    return "".join(json.dumps({"pipeline_id": pipeline_id, "kind": DRAINED, "literal_value": x, "n": n}) + "\n" for x, n in done)
+
+
+def tell(store: Store, control: str, name: str, pipeline_id: int, done: list[tuple[str, int]]) -> None:
+    """Put what a drain has exported where the stream finds it, once for each name. What is told in all, and by which name
+    last, is noted first: a driver that fails in between leaves a name whose file is missing, to be told again."""
+    told, last = f"told.{pipeline_id}", f"last.{pipeline_id}"
+
+    def change(now: Snapshot) -> Change | None:
+        marks = now.marks("queue")
+        if marks.get(last) == name:
+            return None
+        return Change(marks={"queue": {told: str(int(marks.get(told, 0)) + sum(n for _, n in done)), last: name}})
+
+    store.transact(change)
+    Files(store.spark, control).create(f"{name}.json", drained(pipeline_id, done))
+
+
+def last_told(store: Store, pipeline_id: int) -> str | None:
+    return store.marks("queue").get(f"last.{pipeline_id}")
+
+
+def settled(store: Store, pipeline_id: int) -> bool:
+    """Whether the queue's table shows all that drains have told the stream. Until then another drain would see values that
+    are done."""
+    marks = store.marks("queue")
+    return marks.get(f"told.{pipeline_id}", "0") == marks.get(f"drained.{pipeline_id}", "0")
 
 
 def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,7 +102,7 @@ class Queued(StatefulProcessor):
             self.entry.update((literal, count, at))
         elif had is not None:
             self.entry.clear()
-        yield pd.DataFrame({"pipeline_id": [key[0]], "normalized_value": [key[1]], "literal_value": [literal], "source_frequency": [count], "detected_at": pd.Series([at], dtype="datetime64[us]")})
+        yield pd.DataFrame({"pipeline_id": [key[0]], "normalized_value": [key[1]], "literal_value": [literal], "source_frequency": [count], "detected_at": pd.Series([at], dtype="datetime64[us]"), "drained": [gone]})
 
     def close(self) -> None:
         pass
@@ -99,15 +127,23 @@ def follow(store: Store, name: str, batch: DataFrame, batch_id: int, table: str
             return None
         queue = now.read(table)
         rest = queue.join(batch.select("pipeline_id", "normalized_value"), ["pipeline_id", "normalized_value"], "left_anti").select(*queue.columns)
-        return Change({table: rest.unionByName(batch.where("source_frequency > 0").select(*queue.columns))}, {table: {mark: str(batch_id)}})
+        noted = {f"drained.{r['pipeline_id']}": str(int(now.marks(table).get(f"drained.{r['pipeline_id']}", 0)) + r["n"]) for r in gone}
+        return Change({table: rest.unionByName(batch.where("source_frequency > 0").select(*queue.columns))}, {table: noted | {mark: str(batch_id)}})
 
     try:
+        gone = batch.where("drained > 0").groupBy("pipeline_id").agg(F.sum("drained").alias("n")).collect()  # a row for each pipeline
         store.transact(change)
     finally:
         batch.unpersist()
     return done
 
 
+def watched(spark: SparkSession, changes: DataFrame, pipeline_id: int, column: str, control: str) -> DataFrame:
+    """A pipeline's events: its feed's rows as a stream, and what drains put into the control folder."""
+    Files(spark, control).make()
+    return came(changes, pipeline_id, column).unionByName(spark.readStream.schema(EVENTS).json(control))
+
+
 def start(store: Store, name: str, events: DataFrame, checkpoint: str, every: str | None = "1 minute") -> StreamingQuery:
     """Run a stream of events into the queue. every: None takes what is there and stops. The checkpoint folder holds the
     state, so it has to be shared and kept; a name goes with it."""

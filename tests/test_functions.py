@@ -150,3 +150,11 @@ def test_text():
         text.parse_table_name("x.b.c", "a")
     assert text.marker_deletes("1:2:3") == 3 and text.marker_deletes("x") is None
     assert text.classify_error(ValueError("[PATH_NOT_FOUND] x")) == "table" and text.classify_error(OSError("reset by peer")) == "transient"
+
+
+def test_sql_literals(spark):
+    from canonry.functions.text import sql_literal
+
+    for value in ("plain", "it's", "back\\slash", "\\'", "tab\tnew\nline", "", "é𝛼", '"', "%_"):
+        assert spark.sql(f"SELECT {sql_literal(value)} AS v").first()["v"] == value
+    assert sql_literal(None) == "NULL"

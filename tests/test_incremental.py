@@ -41,13 +41,15 @@ def feed_rows(seed, n):
 
 def test_state_replays_and_drains(spark, store, tmp_path):
     def arrive(rows, kind="came"):
-        df = spark.createDataFrame(rows, "op string, carrier string") if kind == "came" else spark.createDataFrame(rows, "literal_value string, n long")
-        events = keyed.came(df, 7, "carrier") if kind == "came" else keyed.drained(df, 7)
-        events.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if kind == "drained":
+            keyed.tell(store, f"{tmp_path}/control", f"{len(rows)}", 7, rows)
+            keyed.tell(store, f"{tmp_path}/control", f"{len(rows)}", 7, rows)  # a second time: nothing
+        else:
+            spark.createDataFrame(rows, "op string, carrier string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
 
-    def run(checkpoint="state"):
-        stream = spark.readStream.schema(keyed.EVENTS).parquet(f"{tmp_path}/in")
-        query = keyed.start(store, "feed", stream, f"{tmp_path}/{checkpoint}", every=None)
+    def run():
+        changes = spark.readStream.schema("op string, carrier string").parquet(f"{tmp_path}/in")
+        query = keyed.start(store, "feed", keyed.watched(spark, changes, 7, "carrier", f"{tmp_path}/control"), f"{tmp_path}/state", every=None)
         query.awaitTermination(240)
         assert query.exception() is None
 
@@ -67,12 +69,14 @@ def test_state_replays_and_drains(spark, store, tmp_path):
     # a restart with nothing new changes nothing, nor does a batch that comes again
     version = store.versions("queue")
     run()
-    again = spark.createDataFrame([(7, "hot", "hot", 10**6, datetime(2024, 1, 1))], keyed.OUT)
+    again = spark.createDataFrame([(7, "hot", "hot", 10**6, datetime(2024, 1, 1), 0)], keyed.OUT)
     assert keyed.follow(store, "feed", again, 0) is False and store.versions("queue") == version
     # a drain takes off what it exported; what came since stays
     hot, att = queue_of(store)[7, "hot"][1], queue_of(store)[7, "att"][1]
     arrive([("hot", hot), ("ATT", att - 2)], kind="drained")
+    assert not keyed.settled(store, 7)
     run()
+    assert keyed.settled(store, 7)
     assert (7, "hot") not in queue_of(store) and queue_of(store)[7, "att"][1] == 2
     arrive([("I", "hot")])
     run()
@@ -80,6 +84,38 @@ def test_state_replays_and_drains(spark, store, tmp_path):
     assert {r["normalized_value"]: r["detected_at"] for r in store.read("queue").collect()}["att"] == at["att"]
 
 
+def test_an_engine_drains_a_stream(spark, store, tmp_path):
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), "op string, carrier string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run(engine, p):
+        changes = spark.readStream.schema("op string, carrier string").parquet(f"{tmp_path}/in")
+        query = engine.watch(p, changes, f"{tmp_path}/watch", every=None)
+        query.awaitTermination(240)
+        assert query.exception() is None
+
+    source = spark.createDataFrame([(1, "ATT")], "id int, carrier string")
+    engine = Engine(store, lambda t: source, grouping.FoldingGrouper())
+    p = engine.create("src", "carrier", {"description": "x"})
+    engine.commit(p, engine.initial_run(p))
+    arrive(("I", "Orange"), ("I", "orange"), ("I", "att"), ("D", "x"))
+    run(engine, p)
+    assert queue_of(store) == {(p.pipeline_id, "orange"): ("Orange", 2), (p.pipeline_id, "att"): ("att", 1)}
+    assert engine.drain(p) == 2 and engine.drain(p) == 0  # the stream has to see the first before there is a second
+    told = tmp_path / "watch" / "drained" / f"{keyed.last_told(store, p.pipeline_id)}.json"
+    text = told.read_text()
+    told.unlink()  # as if the driver had failed before it
+    assert engine.drain(p) == 0 and told.read_text() == text
+    arrive(("I", "ORANGE"), ("I", "Three"))
+    run(engine, p)
+    assert queue_of(store) == {(p.pipeline_id, "orange"): ("ORANGE", 1), (p.pipeline_id, "three"): ("Three", 1)}
+    again = Engine(store, lambda t: source, grouping.FoldingGrouper())
+    again.load_state()
+    assert again.drain(again.pipelines[p.pipeline_id]) == 2
+    run(again, again.pipelines[p.pipeline_id])
+    assert queue_of(store) == {}
+
+
 # companion columns by file
 
 
