@@ -60,17 +60,26 @@ def segment_counts(fp: Column, segments: int) -> list[Column]:
     return [F.bit_count(F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit(mask).cast("long"))) for i in range(segments)]
 
 
-def cells(prints: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """fp, cell: the grid cells at Manhattan distance 1 or less from the fingerprint's point."""
-    width = 64 // segments
-    bits = width.bit_length()  # a coordinate runs from 0 to width
+def coordinate_bits(segments: int) -> int:
+    bits = (64 // segments).bit_length()  # a coordinate runs from 0 to a segment's width
     if bits * segments > 64:
         raise ValueError("a cell's coordinates must fit into 64 bits")
+    return bits
+
+
+def point(fp: Column, segments: int) -> Column:
+    """The fingerprint's place in the embedding: its segments' counts of set bits, side by side in a long."""
+    bits, out = coordinate_bits(segments), F.lit(0).cast("long")
+    for i, c in enumerate(segment_counts(fp, segments)):
+        out = out.bitwiseOR(F.shiftleft(c.cast("long"), bits * i))
+    return out
+
+
+def cells(prints: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """fp, cell: the grid cells at Manhattan distance 1 or less from the fingerprint's point."""
+    width, bits = 64 // segments, coordinate_bits(segments)
     counts = segment_counts(F.col("fp"), segments)
-    point = F.lit(0).cast("long")
-    for i, c in enumerate(counts):
-        point = point.bitwiseOR(F.shiftleft(c.cast("long"), bits * i))
-    out = prints.select("fp", point.alias("point"), F.array(*[c.cast("byte") for c in counts]).alias("counts"))
+    out = prints.select("fp", point(F.col("fp"), segments).alias("point"), F.array(*[c.cast("byte") for c in counts]).alias("counts"))
     steps = [F.lit(0).cast("long")]
     for i in range(segments):
         one = F.lit(1 << bits * i).cast("long")
@@ -125,18 +134,24 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root of each node that has a link: the smallest of its component, by alternating large and small stars.
 
     Both stars only take a minimum for each node, summed up before the shuffle, so that no node's links meet in a task.
+    The stars never add links, so that a round's steps have tasks by the links there are: few links write few files.
     """
     links_ = common.cut(edges.select("a", "b").where("a <> b").distinct())
+    rows = links_.count()
+    links_ = common.fitted(links_, rows)
     while True:  # the stars settle in about the square of the logarithm of the nodes
         both = links_.unionByName(links_.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b")
+        large = common.fitted(common.fitted(large, rows).distinct(), rows)
         # small star: each node's links to smaller ones, and itself, to the smallest of them
         low = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
         small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"), F.lit(0).alias("_"))
-        after = common.cut(small.select("e.a", "e.b").where("a <> b").distinct())
-        same = after.exceptAll(links_).isEmpty() and after.count() == links_.count()
-        links_ = after
+        small = common.fitted(small.select("e.a", "e.b").where("a <> b"), 2 * rows)
+        after = common.cut(common.fitted(small.distinct(), rows))
+        left = after.count()
+        same = left == rows and after.exceptAll(links_).isEmpty()
+        links_, rows = after, left
         if same:
             return links_.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(links_.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 

@@ -171,6 +171,19 @@ def test_near_copies_with_edits(spark, clashing, empty, work):
     assert neardup.one_of_each(empty).count() == 0 and neardup.one_of_each(clashing).columns == clashing.columns
 
 
+def test_few_links_write_few_files(spark):
+    """However many partitions a shuffle has, each round of the stars writes by its links."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        reach = simhash.components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long"))
+        assert reach.rdd.getNumPartitions() <= 41 and reach.count() == 31 and {r["root"] for r in reach.collect()} == {0}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_dedup_stage_joins_edited_copies(spark, sf_dir):
     import corpus_pipeline
 
