@@ -171,6 +171,34 @@ def test_near_copies_with_edits(spark, clashing, empty, work):
     assert neardup.one_of_each(empty).count() == 0 and neardup.one_of_each(clashing).columns == clashing.columns
 
 
+def test_near_dedup_goes_through_fingerprints(spark):
+    """Fingerprints by majority and popcount cells, against brute force; what is compared shares a cell and is near there."""
+    known = lm.Keys()
+    texts = [" ".join(f"v{(i * 7 + j) % 97}" for j in range(60 + i)) for i in range(4)] + ["short one", "short one indeed", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = neardup.sketches(neardup.with_text_key(frame))
+    got = {r["doc_id"]: [p & (1 << 64) - 1 for p in r["prints"]] for r in made.collect()}
+    factors = [int(f) for f in neardup.FACTORS[:, 0]]
+    for i, text in enumerate(texts):
+        shingles = [int(s) for s in neardup.shingle_set(text, known)]
+        if not shingles:
+            continue
+        hashes = [int(lm.mix(np.array([min(f * s & (1 << 64) - 1 for s in shingles)], "u8"))[0]) for f in factors]
+        samples = [hashes[at : at + 5] for at in range(0, 100, 5)]
+        assert got[i] == [sum(1 << b for b in range(64) if sum(h >> b & 1 for h in sample) > 2) for sample in samples]
+    sets = made.where("size > 0").select("set", "prints")
+    cells = collections.defaultdict(set)
+    for r in sets.collect():
+        for p in r["prints"]:
+            cells[tuple((p >> b & 3).bit_count() for b in range(0, 64, 2))].add((r["set"], p))
+    near = neardup.neighbours(sets).collect()
+    assert sorted((r["set"], r["fp"]) for r in near) == sorted(x for c in cells.values() if len(c) > 1 for x in c)
+    assert near and all((r["fp"] >> 2 * i & 3).bit_count() == r["cell"] >> 2 * i & 3 for r in near for i in range(32))
+    one = np.array([1, 2, 3], "u8")
+    pair = lambda a, b: list(neardup.similar(np.array([3, 3]), np.r_[one, one], 0.8, np.array([0, 1]), np.array([0, 0]), np.array([a, b], "u8")))
+    assert pair(0, 3) == [(0, 1)] and pair(0, 7) == []
+
+
 def test_few_links_write_few_files(spark):
     """However many partitions a shuffle has, each round of the stars writes by its links."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
