@@ -199,6 +199,25 @@ def test_near_dedup_goes_through_fingerprints(spark):
     assert pair(0, 3) == [(0, 1)] and pair(0, 7) == []
 
 
+def test_idle_workers_give_memory_back(spark):
+    """What a worker has freed below memory that is still held goes back to the system."""
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    def task(_):
+        arrays = [np.ones(1250) for _ in range(20_000)]  # 200 MB, in pieces too small for mappings of their own
+        held = arrays[-1]
+        del arrays
+        before = resident()
+        common.give_back()
+        yield before, resident(), held.sum()
+
+    ((before, after, _),) = spark.sparkContext.parallelize([0], 1).mapPartitions(task).collect()
+    assert after < before - 100
+
+
 def test_few_links_write_few_files(spark):
     """However many partitions a shuffle has, each round of the stars writes by its links."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
